@@ -63,6 +63,17 @@ def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
+def _windows(hashes: Column, width: int, seeds: list[int]) -> Column:
+    """Structs (width, start, grams) of the windows that hold one of ``seeds``."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - 1, F.lit(0)), F.lit(max(1, width // 2)))
+    cut = F.transform(starts, lambda i: F.struct(F.lit(width).alias("width"), i.alias("start"), F.slice(hashes, i + 1, F.lit(width)).alias("grams")))
+    return F.filter(cut, lambda x: F.exists(x["grams"], lambda g: g.isin(seeds)))
+
+
+def _least(grams: str, mask: int) -> Column:
+    return F.array_min(F.transform(grams, lambda g: g.bitwiseXOR(F.lit(mask).cast("long"))))
+
+
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, n_found and n_shingles (of the template), first_word (of the window)."""
     spark = docs.sparkSession
@@ -82,14 +93,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = hashed(d).where(F.exists("h", lambda x: x.isin(every)))
-    windows = []
-    for width, seed in seeds.items():
-        step = max(1, width // 2)
-        cut = lambda i, w=width: F.slice(F.col("h"), i + 1, F.lit(w))
-        starts = F.sequence(F.lit(0), F.greatest(F.size("h") - 1, F.lit(0)), F.lit(step))
-        windows.append(F.filter(F.transform(starts, lambda i, w=width, c=cut: F.struct(F.lit(w).alias("width"), i.alias("start"), c(i).alias("grams"))), lambda x, s=seed: F.exists(x["grams"], lambda g: g.isin(s))))
+    windows = [_windows(F.col("h"), width, seed) for width, seed in seeds.items()]
     found = d.select("doc_id", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.*")
-    least = F.array(*(F.array_min(F.transform("grams", lambda g, m=m: g.bitwiseXOR(F.lit(m).cast("long")))) for m in own_masks))
+    least = F.array(*(_least("grams", m) for m in own_masks))
     met = found.select("doc_id", "width", "start", "grams", F.posexplode(least).alias("band", "least"))
     table = spark.createDataFrame([(w, b, v, name) for w, ts in scales.items() for name, _, vs in ts for b, v in enumerate(vs)], "width int, band int, least long, license string")
     grams = spark.createDataFrame([(name, g) for ts in scales.values() for name, g, _ in ts], "license string, template array<bigint>")
