@@ -25,6 +25,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import bind
+
 SHINGLE, BANDS, CONTAINED = 5, 32, 0.75
 
 # Texts of public licenses and notices.
@@ -59,8 +61,13 @@ def shingle_words(text: Column) -> Column:
 
 def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     """Hashes of all ``n``-word shingles of an array column of words, in order."""
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
-    return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
+
+
+    def hashes(w):
+        own = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
+        return F.when(F.size(w) >= n, own).otherwise(F.array().cast("array<bigint>"))
+
+    return bind(words, hashes)
 
 
 def _windows(hashes: Column, width: int, seeds: list[int]) -> Column:
@@ -77,7 +84,7 @@ def _least(grams: str, mask: int) -> Column:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", bands: int = BANDS, contained: float = CONTAINED) -> DataFrame:
     """doc_id, license, n_found and n_shingles (of the template), first_word (of the window)."""
     spark = docs.sparkSession
-    hashed = lambda df: df.withColumn("words", shingle_words(F.col("text"))).withColumn("h", shingle_hashes(F.col("words"))).drop("words", "text")
+    hashed = lambda df: df.withColumn("h", shingle_hashes(shingle_words(F.col("text")))).drop("text")
     known = hashed(spark.createDataFrame(list(templates.items()), "license string, text string")).collect()  # one row a template
     if short := [r.license for r in known if not r.h]:
         raise ValueError(f"templates with fewer than {SHINGLE} words: {short}")
@@ -93,8 +100,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id
 
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     d = hashed(d).where(F.exists("h", lambda x: x.isin(every)))
-    windows = [_windows(F.col("h"), width, seed) for width, seed in seeds.items()]
-    found = d.select("doc_id", F.explode(F.concat(*windows)).alias("w")).select("doc_id", "w.*")
+    windows = bind(F.col("h"), lambda h: F.concat(*(_windows(h, width, seed) for width, seed in seeds.items())))
+    found = d.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
     least = F.array(*(_least("grams", m) for m in own_masks))
     met = found.select("doc_id", "width", "start", "grams", F.posexplode(least).alias("band", "least"))
     table = spark.createDataFrame([(w, b, v, name) for w, ts in scales.items() for name, _, vs in ts for b, v in enumerate(vs)], "width int, band int, least long, license string")
