@@ -36,5 +36,5 @@ def indices_column(spec: Column) -> Column:
         high = F.trim(F.coalesce(F.get(F.split(part, "-", 2), F.lit(1)), part)).try_cast("int")
         return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
 
-    parts = F.filter(F.transform(F.split(spec, ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.when(spec != "all", F.array_distinct(F.flatten(F.transform(parts, expand))))
