@@ -18,8 +18,8 @@ over prefixes only:
 4. Product. The prefixes, dealt by column, are sorted; each block of columns adds its
    partial products (component, component, shared columns) up in numpy. Sums below the
    bound that the sizes give are discarded.
-5. The members of the pairs left are verified on their full sets, and joined to the first
-   links; components give the classes.
+5. For each pair left, first one member of each side is verified, then, where that was no link,
+   all members on their full sets. With the first links, components give the classes.
 
 Defined results: A-Z are lower-cased; null, empty and blank texts have the empty set and link
 with nothing. Texts with fewer words than ``n`` have one n-gram of all words. Rows that
@@ -335,7 +335,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     parts = max(8, partitions(spark))
     products = entries.repartition(parts, "column").sortWithinPartitions("column", "node").mapInArrow(_product(), "a long, b long, shared long")
     summed = products.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    sizes = nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("class"), "node", "size")
+    sizes = nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("class"), "node", "size", "rare")
     sizes = staged(sizes, "members")
     ranges = sizes.groupBy("class").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     candidates = staged(summed, "products")
@@ -348,7 +348,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # One less, as two columns of a prefix could share a key.
     need = F.ceil(F.lit(NUMERATOR) * (small + large) / (NUMERATOR + DENOMINATOR)) - (F.ceil(F.lit(NUMERATOR) * large / DENOMINATOR) - 1) - 1
     ranged = (F.col("low_a") < F.col("high_a")) | (F.col("low_b") < F.col("high_b"))
-    left = candidates.where((F.col("shared") >= need) | ranged).select("a", "b")
+    left = staged(candidates.where((F.col("shared") >= need) | ranged).select("a", "b"), "products")
+    # The members with the fewest rare columns stand for their components first. Where they link, the
+    # two are one, and their other members need not meet; members of all other pairs do.
+    centres = sizes.groupBy("class").agg(F.min_by("node", F.struct(F.col("rare") / F.col("size"), "node")).alias("node"))
+    centre = lambda c, node: centres.select(F.col("class").alias(c), F.col("node").alias(node))
+    second = left.join(centre("a", "x"), "a").join(centre("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    first = staged(first.union(verified(second, nodes, own, n)), "links")
+    # A component is named by one of its nodes, so the new ones are found by that name.
+    joined = staged(components(first), "components")
+    for c in ("a", "b"):
+        left = left.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")), c, "left")
+    left = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
     side = lambda c, node: sizes.select(F.col("class").alias(c), F.col("node").alias(node), F.col("size").alias(f"size_{c}"))
     pairs = left.join(side("a", "x"), "a").join(side("b", "y"), "b").where(f"{DENOMINATOR} * size_a >= {NUMERATOR} * size_b and {DENOMINATOR} * size_b >= {NUMERATOR} * size_a")
     rest = staged(verified(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, own, n), "links")
