@@ -18,6 +18,7 @@ doc_id are packed each. Empty tables give no rows. Ids are 32 bits.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 
@@ -28,11 +29,22 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.common import staged
 
-CAPACITY, SHARD_PIECES, CACHE = 2048, 60_000, 300_000
+CAPACITY, SHARD_PIECES, CACHE = 2048, 60_000, 900_000
+
+
+#: Visible characters of Latin-1.
+PLAIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch
+#: Fixed value: the tokenizer's split pattern, written out for lower-cased Latin-1.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+").findall
 
 
 class _ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk without white space."""
+    """Little-endian 32-bit ids of a chunk without white space.
+
+    The tokenizer lower-cases and then splits a chunk into letters, single digits and other
+    signs, which are encoded each by itself. For chunks within Latin-1, where its normal form
+    changes nothing else, the same is done here, so that "Word," and "word" share a piece.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -42,16 +54,36 @@ class _ChunkIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.pieces: dict[str, bytes] = {}
 
-    def fill(self, chunks) -> None:
-        new = [c for c in set(chunks) if c not in self]
+    def fill(self, chunks: set[str]) -> None:
+        """Learns the chunks that are not known: those of plain letters from their pieces."""
+        new = [c for c in chunks if c not in self]
         if len(self) + len(new) > CACHE:
             self.clear()
-            new = list(set(chunks))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+            new = list(chunks)
+        split, whole = {}, []
+        for c in new:
+            if PLAIN(c) and "<|" not in c:
+                split[c] = PIECES(c.lower())
+            else:
+                whole.append(c)
+        for c, data in zip(whole, self._encode(whole), strict=True):
+            self[c] = data
+        wanted = set().union(*split.values())
+        fresh = [p for p in wanted if p not in self.pieces]
+        if len(self.pieces) + len(fresh) > CACHE:
+            self.pieces.clear()
+            fresh = list(wanted)
+        self.pieces.update(zip(fresh, self._encode(fresh), strict=True))
+        known = self.pieces.__getitem__
+        for c, parts in split.items():
+            self[c] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
+
+    def _encode(self, texts: list[str]):
+        for lo in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False):
+                yield np.array(e.ids, "<u4").tobytes()
 
 
 _known: dict[str, _ChunkIds] = {}
@@ -63,11 +95,11 @@ def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     out, lo = [], 0
     while lo < len(texts):  # so many texts at a time that their chunks fit the memory
         split, hi, n = [], lo, 0
-        while hi < len(texts) and n < CACHE // 4:
+        while hi < len(texts) and n < 200_000:
             split.append((texts[hi] or "").replace("\n", " ").replace("\t", " ").split(" "))
             n += len(split[-1])
             hi += 1
-        ids.fill(c for s in split for c in s)
+        ids.fill(set().union(*split))
         out += [b"".join(map(ids.__getitem__, s)) for s in split]
         lo = hi
     return out

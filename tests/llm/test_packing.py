@@ -128,3 +128,11 @@ def test_mix(spark):
         assert {r.source_size for r in by[s]} == {size} and abs(by[s][0].target - target) < 1e-6
         assert abs(sum(r.taken for r in by[s]) - target) <= 64 + 1
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_chunks_within_latin1():
+    tok = Tokenizer.from_file(PATH)
+    signs = [chr(c) for c in range(0x20, 0x180)]
+    texts = ["".join(p) for a in signs for p in ((a, "x"), ("It'S", a, "9"), (a, a))] + ["É 'S 'll I'Ve½ª", "<|endoftext|> <|startoftext|>x"]
+    for t, data in zip(texts, packing.token_bytes(texts, PATH), strict=True):
+        assert data == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes(), repr(t)
