@@ -105,6 +105,8 @@ class SegmentReader(DataSourceReader):
         return out
 
     def read(self, part):
+        if part is None:  # no segment is left
+            return
         s, width = part.segment, int(part.segment.get("value_bytes") or 4)
         values = int(s["num_channels"]) + 3
         with open(part.path, "rb") as f:
