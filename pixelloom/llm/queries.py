@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelloom.llm import chat, jaccard, licenses, linededup, media, mixing, packing, pii, quality, tokencount
+from pixelloom.llm import chat, jaccard, licenses, linededup, media, mixing, oracles, packing, pii, quality, tokencount
 from pixelloom.llm.common import read_table
 
 
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()
