@@ -385,3 +385,57 @@ def q_ome_xml(spark, sf_dir):
     from pixelloom.sources.ome import summary_column
 
     return longs(_rois_df(spark, sf_dir).select("roi_id", summary_column().alias("xml")), "roi_id")
+
+
+def _shared_folder(spark) -> str:
+    """A folder that driver and executors see: the one in spark.checkpoint.dir, a temporary one where that is unset."""
+    import tempfile
+
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    return path.removeprefix("file://") if path else tempfile.mkdtemp(prefix="segments-")
+
+
+def _segment_file(spark, sf_dir: str) -> tuple[str, list[dict]]:
+    """A raw file of three segments whose values come from the region table, one with a cut last record."""
+    import os
+    import uuid
+
+    import numpy as np
+
+    n = B.table(spark, sf_dir, "region").count()
+    folder = _shared_folder(spark)
+    os.makedirs(folder, exist_ok=True)
+    path, at, segments = f"{folder}/segments-{uuid.uuid4().hex}.mcd", 0, []
+    with open(path, "wb") as f:
+        for roi, (width, kind) in enumerate(((4, "<f4"), (8, "<f8"), (2, "<f2"))):
+            i = np.arange(20 * n)
+            data = np.stack([i % 7, i // 7, 0 * i, i, 2 * i], axis=1).astype(kind).tobytes() + b"x" * (roi == 2)
+            f.write(data)
+            segments.append({"roi_id": roi, "data_start": at, "data_end": at + len(data), "value_bytes": width, "num_channels": 2, "name": f"roi{roi}"})
+            at += len(data)
+    return path, segments
+
+
+@query()
+def q_segment_scan(spark, sf_dir):
+    from pixelloom.sources.segments import read_segments_safely
+
+    path, segments = _segment_file(spark, sf_dir)
+    records, _ = read_segments_safely(spark, path, segments)
+    return longs(mosaic.scatter(mosaic.unpivot(records).withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})), "roi_id", "ch", "y", "x")
+
+
+@query()
+def q_error_isolation(spark, sf_dir):
+    """Status and message of each of several segments; a bad one does not end the others."""
+    from pixelloom.sources.segments import SegmentError, count_records
+
+    _, segments = _segment_file(spark, sf_dir)
+    rows = []
+    for s in [*segments, segments[0] | {"roi_id": 9, "value_bytes": 3}]:
+        try:
+            rows.append((s["roi_id"], "ok", count_records(s, True), None))
+        except SegmentError as e:
+            whole = count_records(s, False) if "Unsupported" not in str(e) else 0
+            rows.append((s["roi_id"], "recovered" if whole else "skipped", whole, str(e)))
+    return spark.createDataFrame(rows, "roi_id long, status string, n_records long, message string")
