@@ -9,9 +9,10 @@ U16_MAX = 65535
 
 
 def to_uint16(v: Column) -> Column:
-    """Clipped to 0..65535, then truncated; NaN is 0. Clipping comes first, so that no cast overflows."""
+    """Clipped to 0..65535, then truncated; NaN is 0, null stays. Clipping comes first, so that no cast overflows."""
     v = v.cast("double")
-    return F.when(F.isnan(v), F.lit(0)).otherwise(F.greatest(F.least(v, F.lit(float(U16_MAX))), F.lit(0.0)).cast("int"))
+    clipped = F.when(v > U16_MAX, float(U16_MAX)).when(v < 0, 0.0).otherwise(v)
+    return F.when(F.isnan(v), F.lit(0)).otherwise(clipped.cast("int"))
 
 
 def to_output(v: Column, dtype: str) -> Column:
