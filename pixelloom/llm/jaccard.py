@@ -253,6 +253,74 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS
     return both.mapInArrow(_verify(n), "a long, b long")
 
 
+def _probe_members(n: int):
+    """Links from sorted rows (part, kind, node, text): members of a block (kind 0) first, then those that meet them.
+
+    A row that meets a block is counted against all its members at once, through the block's
+    columns; one link to the block is enough, as its members are connected.
+    """
+
+    def run(batches):
+        part, held, index = None, [], None
+        for b in batches:
+            links = []
+            for p, kind, node, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if p != part:
+                    part, held, index = p, [], None
+                grams = ngram_set(text, n)
+                if kind == 0:
+                    held.append((node, grams))
+                    continue
+                if index is None:
+                    if not held:
+                        continue
+                    values = np.concatenate([g for _, g in held])
+                    owners = np.repeat(np.arange(len(held)), [len(g) for _, g in held])
+                    order = np.argsort(values, kind="stable")
+                    values, owners = values[order], owners[order]
+                    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+                    index = values[first], np.append(first, len(values)), owners, np.array([len(g) for _, g in held])
+                columns, starts, owners, lengths = index
+                at = np.searchsorted(columns, grams)
+                at = at[(at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == grams)]
+                if not len(at):
+                    continue
+                both = np.bincount(np.concatenate([owners[starts[k] : starts[k + 1]] for k in at]), minlength=len(lengths))
+                linked = np.flatnonzero(DENOMINATOR * both >= NUMERATOR * (lengths + len(grams) - both))
+                if len(linked):
+                    links.append((held[linked[0]][0], node))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
+
+    return run
+
+
+#: Columns of the members in a block; a component has as many blocks as it needs.
+BLOCK_COLUMNS = 1_000_000
+
+
+def _member_links(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """Links between members of paired components (a, b), which are each connected already.
+
+    The component of more columns is dealt to blocks; each member of the other meets each block
+    once. So the rows are the members of the smaller sides times blocks, not pairs of members.
+    """
+    pairs = staged(pairs, "pairs")
+    whole = sizes.groupBy("class").agg(F.sum("size").alias("columns"))
+    for c in ("a", "b"):
+        pairs = pairs.join(whole.select(F.col("class").alias(c), F.col("columns").alias(f"columns_{c}")), c)
+    swap = F.col("columns_a") >= F.col("columns_b")
+    pairs = staged(pairs.select(F.when(swap, F.col("a")).otherwise(F.col("b")).alias("large"), F.when(swap, F.col("b")).otherwise(F.col("a")).alias("small"), F.ceil(F.greatest("columns_a", "columns_b") / BLOCK_COLUMNS).cast("int").alias("blocks")), "pairs")
+    large = pairs.select(F.col("large").alias("class"), "blocks").distinct()
+    members = sizes.join(large, "class").select("class", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("kind"), "node")
+    meeting = pairs.join(sizes.select(F.col("class").alias("small"), "node"), "small").select(F.col("large").alias("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node")
+    rows = staged(members.unionByName(meeting), "members")
+    met = rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
+    texts = docs.join(_small(staged(met, "met")), "doc_id").select("node", "text")
+    texts = staged(texts.mapInArrow(_own_texts(n), "node long, text string").dropDuplicates(["node"]), "texts")
+    dealt = rows.join(texts, "node").repartition(max(8, partitions(docs.sparkSession)), "class", "block").sortWithinPartitions("class", "block", "kind")
+    return dealt.select(F.struct("class", "block").alias("part"), "kind", "node", "text").mapInArrow(_probe_members(n), "a long, b long")
+
+
 def _product(block: int = 512, flush: int = 1_000_000):
     """Partial products of sorted (column, node, low, high): (a, b, columns shared)."""
 
@@ -360,9 +428,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for c in ("a", "b"):
         left = left.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"now_{c}")), c, "left")
     left = left.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
-    side = lambda c, node: sizes.select(F.col("class").alias(c), F.col("node").alias(node), F.col("size").alias(f"size_{c}"))
-    pairs = left.join(side("a", "x"), "a").join(side("b", "y"), "b").where(f"{DENOMINATOR} * size_a >= {NUMERATOR} * size_b and {DENOMINATOR} * size_b >= {NUMERATOR} * size_a")
-    rest = staged(verified(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, own, n), "links")
+    rest = staged(_member_links(left, sizes, nodes, own, n), "links")
     classes = staged(components(first.union(rest)), "components")
 
     out = rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(classes, "node", "left")
