@@ -60,9 +60,6 @@ edges AS (SELECT a.roi_id, (a.x - bx - mx) / g AS px1, (a.y - bym - my) / g AS p
   FROM corners a JOIN (SELECT roi_id, max(pos) + 1 AS n FROM corners GROUP BY 1) c USING (roi_id) JOIN corners b ON b.roi_id = a.roi_id AND b.pos = (a.pos + 1) % n JOIN placed2 p ON p.roi_id = a.roi_id, canvas)"""
 
 
-_INSIDE = "(SELECT count(*) FROM edges e WHERE e.roi_id = {t}.roi_id AND (py1 > {t}.y) <> (py2 > {t}.y) AND {t}.x < px1 + (px2 - px1) * ({t}.y - py1) / (py2 - py1)) % 2 = 1"
-
-
 def _composite(source: str, cast: str) -> str:
     """From a CTE of cells (roi_id, ch, y, x, v) in canvas pitch to the mosaic."""
     return f"""outv AS (SELECT roi_id, ch, y, x, {cast} AS v FROM {source}),
@@ -150,7 +147,7 @@ def q_segment_check(spark, sf_dir):
         s.alias("seg_id"), (s % 8 + 1).alias("num_channels"), F.when(s % 4 == 0, 2).when(s % 4 == 1, 4).when(s % 4 == 2, 8).otherwise(3).alias("value_bytes"), (s * 13).alias("data_start"), (s * 13 + (s % 50) * (s % 8 + 4) * 8 + s % 3).alias("data_end")
     )
     strict = mosaic.segment_check(seg).withColumnRenamed("n_records", "strict_records")
-    return mosaic.segment_check(strict, strict=False).select("seg_id", mosaic.segment_check(seg).schema["status"].name, "strict_records", F.col("n_records").alias("recovered"), scalars.value_type(F.col("value_bytes")).alias("value_type"))
+    return mosaic.segment_check(strict, strict=False).select("seg_id", "status", "strict_records", F.col("n_records").alias("recovered"), scalars.value_type(F.col("value_bytes")).alias("value_type"))
 
 
 @query(f"WITH {_rois()}, {_selection(SELECTED)}, c AS (SELECT min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y FROM corners WHERE roi_id IN (SELECT roi_id FROM sel)) SELECT k.roi_id::BIGINT AS roi_id, pos::BIGINT AS pos, x - min_x AS tx, y - min_y AS ty, max_x - min_x AS w_um, max_y - min_y AS h_um FROM corners k, c WHERE roi_id IN (SELECT roi_id FROM sel)")
