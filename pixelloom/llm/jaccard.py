@@ -321,20 +321,33 @@ def _member_links(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: Da
     return dealt.select(F.struct("class", "block").alias("part"), "kind", "node", "text").mapInArrow(_probe_members(n), "a long, b long")
 
 
-def _product(block: int = 512, flush: int = 1_000_000):
-    """Partial products of sorted (column, node, low, high): (a, b, columns shared)."""
+def _bucket(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (_finish(a.view(np.uint64) * _MULTIPLIERS[0] + b.view(np.uint64)) % _U(buckets)).astype(np.int64)
+
+
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """Columns (a, b, low a, high a, low b, high b, shared) with equal (a, b) added up."""
+    pairs = pairs[:, np.lexsort((pairs[1], pairs[0]))]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(pairs[0]) != 0) | (np.diff(pairs[1]) != 0)]))
+    return np.concatenate([pairs[:6, first], np.add.reduceat(pairs[6], first)[None]])
+
+
+def _product(buckets: int, block: int = 512, flush: int = 300_000):
+    """Partial products of sorted (column, node, low, high), packed by the bucket of their pair."""
 
     def run(batches):
         held, size = [], 0
         open_ = None
 
         def emit():
-            ab = np.concatenate(held, axis=1)
-            order = np.lexsort((ab[1], ab[0]))
-            ab = ab[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (np.diff(ab[0]) != 0) | (np.diff(ab[1]) != 0)]))
-            counts = np.diff(np.append(first, ab.shape[1]))
-            return pa.RecordBatch.from_arrays([pa.array(ab[0][first]), pa.array(ab[1][first]), pa.array(counts.astype(np.int64))], ["a", "b", "shared"])
+            pairs = _summed(np.concatenate(held, axis=1))
+            at = _bucket(pairs[0], pairs[1], buckets)
+            order = np.argsort(at, kind="stable")
+            pairs, at = pairs[:, order], at[order]
+            cuts = [*np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])).tolist(), len(at)]
+            rows = [(int(at[lo]), np.ascontiguousarray(pairs[:, lo:hi]).tobytes()) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "pairs"])
 
         def blocks(node, low, high):
             for i in range(0, len(node), block):
@@ -345,15 +358,16 @@ def _product(block: int = 512, flush: int = 1_000_000):
                         fit = np.triu(fit, 1)
                     p, q = np.nonzero(fit)
                     if len(p):
-                        yield np.stack([node[x][p], node[y][q]])
+                        yield np.stack([node[x][p], node[y][q], low[x][p], high[x][p], low[y][q], high[y][q], np.ones(len(p), np.int64)])
 
         for b in batches:
             cols = [b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
             if open_ is not None:
                 cols = [np.concatenate(x) for x in zip(open_, cols, strict=True)]
             column, node, low, high = cols
-            new = np.concatenate([[True], (column[1:] != column[:-1]) | (node[1:] != node[:-1])])
-            starts = np.flatnonzero(new)
+            if not len(column):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], (column[1:] != column[:-1]) | (node[1:] != node[:-1])]))
             column, node = column[starts], node[starts]
             low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
             edges = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1], [True]]))
@@ -371,12 +385,36 @@ def _product(block: int = 512, flush: int = 1_000_000):
             for part in blocks(*open_[1:]):
                 held.append(part)
                 size += part.shape[1]
+                if size >= flush:
+                    yield emit()
+                    held, size = [], 0
         if size:
             yield emit()
 
     return run
 
 
+def least_shared(low_a, high_a, low_b, high_b) -> np.ndarray:
+    """The least columns that linked sets of these sizes share within their prefixes.
+
+    That is all that they must share, less what may lie behind the longer prefix, less one, as two
+    columns of a prefix could share a key. Where a side has members of several sizes, 1.
+    """
+    small = np.minimum(low_a, low_b)
+    large = np.minimum(np.maximum(high_a, high_b), small * DENOMINATOR // NUMERATOR)
+    must = -(-NUMERATOR * (small + large) // (NUMERATOR + DENOMINATOR))
+    behind = -(-NUMERATOR * large // DENOMINATOR) - 1
+    return np.where((low_a < high_a) | (low_b < high_b), 1, must - behind - 1)
+
+
+def _sum_bucket(_, rows):
+    """Adds up a bucket's partial products and keeps the pairs that reach their bound."""
+    parts = [np.frombuffer(x, np.int64).reshape(7, -1) for x in rows["pairs"].to_pylist()]
+    total = _summed(np.concatenate(parts, axis=1))
+    keep = total[6] >= least_shared(*total[2:6])
+    return pa.table({"a": pa.array(total[0][keep]), "b": pa.array(total[1][keep])})
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document row."""
     spark = docs.sparkSession
@@ -401,22 +439,11 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = known.select("node", "size", F.explode("prefix").alias("column"))
     entries = entries.join(_small(lookup), "node", "left").select("column", F.coalesce("component", "node").alias("node"), F.coalesce("low", "size").alias("low"), F.coalesce("high", "size").alias("high"))
     parts = max(8, partitions(spark))
-    products = entries.repartition(parts, "column").sortWithinPartitions("column", "node").mapInArrow(_product(), "a long, b long, shared long")
-    summed = products.groupBy("a", "b").agg(F.sum("shared").alias("shared"))
-    sizes = nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("class"), "node", "size", "rare")
-    sizes = staged(sizes, "members")
-    ranges = sizes.groupBy("class").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    candidates = staged(summed, "products")
-    for side in ("a", "b"):
-        candidates = candidates.join(ranges.select(F.col("class").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
-    # The least columns that linked sets of these sizes share within their prefixes: all that they
-    # must share, less what may lie behind the longer prefix. Smallest for the greatest difference in size.
-    small, large = F.least("low_a", "low_b"), F.greatest("high_a", "high_b")
-    large = F.least(large, F.floor(small * DENOMINATOR / NUMERATOR))
-    # One less, as two columns of a prefix could share a key.
-    need = F.ceil(F.lit(NUMERATOR) * (small + large) / (NUMERATOR + DENOMINATOR)) - (F.ceil(F.lit(NUMERATOR) * large / DENOMINATOR) - 1) - 1
-    ranged = (F.col("low_a") < F.col("high_a")) | (F.col("low_b") < F.col("high_b"))
-    left = staged(candidates.where((F.col("shared") >= need) | ranged).select("a", "b"), "products")
+    sorted_ = entries.repartition(parts, "column").sortWithinPartitions("column", "node")
+    # Partial sums stay packed; only pairs that reach their bound become rows.
+    products = sorted_.mapInArrow(_product(parts), "bucket int, pairs binary")
+    left = staged(products.groupBy("bucket").applyInArrow(_sum_bucket, "a long, b long"), "products")
+    sizes = staged(nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("class"), "node", "size", "rare"), "members")
     # The members with the fewest rare columns stand for their components first. Where they link, the
     # two are one, and their other members need not meet; members of all other pairs do.
     centres = sizes.groupBy("class").agg(F.min_by("node", F.struct(F.col("rare") / F.col("size"), "node")).alias("node"))
