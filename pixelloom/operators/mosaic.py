@@ -96,10 +96,13 @@ def mosaic(records: DataFrame, rois: DataFrame, dtype: str = "uint16", digits: i
     return composite(cells.withColumn("v", to_output(v, dtype)), placed)
 
 
-def densify(cells: DataFrame, height: int, width: int, channels: int, keys: list[str] | None = None) -> DataFrame:
-    """All cells of each image, absent ones 0. For sinks and checks; operators stay sparse."""
+def densify(cells: DataFrame, height: int, width: int, channels: int, keys: list[str] | None = None, images: DataFrame | None = None) -> DataFrame:
+    """All cells of each image, absent ones 0. For sinks and checks; operators stay sparse.
+
+    ``images`` names the images by ``keys``, those without a cell too; without it they are the cells' own.
+    """
     keys = keys or []
-    base = cells.select(*keys).distinct() if keys else cells.sparkSession.range(1).drop("id")
+    base = (cells if images is None else images).select(*keys).distinct() if keys else cells.sparkSession.range(1).drop("id")
     grid = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(channels - 1))).alias("ch"))
     grid = grid.select("*", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     return grid.join(cells, [*keys, "ch", "y", "x"], "left").withColumn("v", F.coalesce("v", F.lit(0)))

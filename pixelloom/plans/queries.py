@@ -223,6 +223,16 @@ def q_densify(spark, sf_dir):
     return longs(mosaic.densify(image, 30, 40, B.N_CHANNELS).select("ch", "y", "x", "v"), "ch", "y", "x", "v")
 
 
+@query(
+    f"""WITH {_rois()}, {_RECORDS}, full_grid AS (SELECT roi_id, ch, y, unnest(generate_series(0, 39)) AS x FROM (SELECT roi_id, ch, unnest(generate_series(0, 29)) AS y FROM (SELECT roi_id, unnest(generate_series(0, 6)) AS ch FROM rois)))
+SELECT g.roi_id::BIGINT AS roi_id, g.ch::BIGINT AS ch, g.y::BIGINT AS y, g.x::BIGINT AS x, CASE WHEN v IS NULL THEN 0 ELSE {_U16.format(v="v")} END AS v FROM full_grid g LEFT JOIN cells c ON c.roi_id = g.roi_id AND c.ch = g.ch AND c.y = g.y AND c.x = g.x"""
+)
+def q_densify_regions(spark, sf_dir):
+    rois = _rois_df(spark, sf_dir)
+    dense = mosaic.densify(mosaic.region_images(B.records(spark, sf_dir), rois), 30, 40, B.N_CHANNELS, ["roi_id"], rois)
+    return longs(dense.select("roi_id", "ch", "y", "x", "v"), "roi_id", "ch", "y", "x", "v")
+
+
 _CUBES = "cubes AS (SELECT image_id, ch, pos // 8 AS y, pos % 8 AS x, CAST(floor(CAST(value AS DOUBLE) * 1000) AS BIGINT) AS v FROM (SELECT vec_id AS image_id, vec_id % 5 AS ch, unnest(embedding) AS value, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings))"
 
 

@@ -166,3 +166,10 @@ def test_partitions_do_not_matter(spark, rows, parts):
             if k == r and v > 0:
                 want[5 - r - 3 + y, 2 * r + x] = v
     assert one == want
+
+
+def test_densify_takes_images_without_cells(spark):
+    cells = spark.createDataFrame([(1, 0, 1, 0, 7)], "roi_id int, ch int, y int, x int, v int")
+    dense = mosaic.densify(cells, 2, 1, 2, ["roi_id"], spark.createDataFrame([(1,), (2,)], "roi_id int"))
+    got = {(r.roi_id, r.ch, r.y, r.x, r.v) for r in dense.collect()}
+    assert got == {(i, c, y, 0, 7 * (i == 1 and c == 0 and y == 1)) for i in (1, 2) for c in (0, 1) for y in (0, 1)}
