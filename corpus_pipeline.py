@@ -31,10 +31,25 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id."""
-    classes = jaccard.jaccard_classes(docs)
-    stay = classes.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """One row of each group of near copies stays: the one with the least doc_id.
+
+    Rows that repeat a doc_id are rows of their own: each stays where its text is of another group.
+    In a group, of several rows with the least doc_id the one with the least set signature stays, and of
+    equal sets the one with the least text, then the least other columns. Texts without words link
+    with nothing; one a doc_id stays.
+    """
+    classes = staged(jaccard.row_classes(docs).where("doc_id is not null"), "classes")
+    first = classes.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("node").alias("node"))
+    rows = classes.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    stay = staged(first.join(rows, "doc_id"), "stay")
+    alone = docs.join(stay.where("rows = 1"), "doc_id", "left_semi").select(docs.columns)
+    # Only where a doc_id repeats does a row need its signature to be told from the others.
+    several = jaccard.small(stay.where("rows > 1").select("doc_id", "node"))
+    again = jaccard.with_signature(docs.join(several, "doc_id", "left_semi").select(docs.columns))
+    again = again.withColumn("doc_id", F.col("row.doc_id").cast("long")).join(several, ["doc_id", "node"], "left_semi")
+    order = F.struct("row.text", *(F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind))
+    again = again.groupBy("doc_id", "node").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return alone.unionByName(again).unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

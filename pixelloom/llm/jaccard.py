@@ -236,7 +236,7 @@ def _verify(n: int):
     return run
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame) -> DataFrame:
     """``df`` (a staged table) with a broadcast hint if its row count allows; else as it is, to be shuffled."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int = WORDS
     """Those pairs (a, b) of nodes whose sets link, by their full texts. docs: doc_id, text; nodes: node, doc_id."""
     pairs = staged(pairs, "pairs")
     met = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = docs.join(_small(staged(met, "met")), "doc_id").select("node", "text")
+    texts = docs.join(small(staged(met, "met")), "doc_id").select("node", "text")
     texts = staged(texts.mapInArrow(_own_texts(n), "node long, text string"), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -315,7 +315,7 @@ def _member_links(pairs: DataFrame, sizes: DataFrame, nodes: DataFrame, docs: Da
     meeting = pairs.join(sizes.select(F.col("class").alias("small"), "node"), "small").select(F.col("large").alias("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("kind"), "node")
     rows = staged(members.unionByName(meeting), "members")
     met = rows.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    texts = docs.join(_small(staged(met, "met")), "doc_id").select("node", "text")
+    texts = docs.join(small(staged(met, "met")), "doc_id").select("node", "text")
     texts = staged(texts.mapInArrow(_own_texts(n), "node long, text string").dropDuplicates(["node"]), "texts")
     dealt = rows.join(texts, "node").repartition(max(8, partitions(docs.sparkSession)), "class", "block").sortWithinPartitions("class", "block", "kind")
     return dealt.select(F.struct("class", "block").alias("part"), "kind", "node", "text").mapInArrow(_probe_members(n), "a long, b long")
@@ -415,8 +415,31 @@ def _sum_bucket(_, rows):
     return pa.table({"a": pa.array(total[0][keep]), "b": pa.array(total[1][keep])})
 
 
+def _sign(n: int):
+    def run(batches):
+        for b in batches:
+            marks = [signature(ngram_set(t, n)) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(marks, pa.int64())], ["row", "node"])
+
+    return run
+
+
+def with_signature(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
+    """Each row as a struct ``row``, with the signature of its set as ``node``."""
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return own.mapInArrow(_sign(n), f"row {own.schema['row'].dataType.simpleString()}, node long")
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id (the least doc_id reachable by links) of each document row."""
+    return row_classes(docs, doc_id, text, n).select("doc_id", "n_shingles", "component_id")
+
+
+def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """As ``jaccard_classes``, with ``node``, the signature of the row's set, and ``class``, which names its component's rows alone.
+
+    Two components can have one component_id where rows repeat a doc_id. Empty sets are 0 in both.
+    """
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_columns(own, "text", n))
@@ -437,7 +460,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     bounds = nodes.join(found, "node", "inner").groupBy("component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     lookup = staged(found.join(bounds, "component"), "lookup")
     entries = known.select("node", "size", F.explode("prefix").alias("column"))
-    entries = entries.join(_small(lookup), "node", "left").select("column", F.coalesce("component", "node").alias("node"), F.coalesce("low", "size").alias("low"), F.coalesce("high", "size").alias("high"))
+    entries = entries.join(small(lookup), "node", "left").select("column", F.coalesce("component", "node").alias("node"), F.coalesce("low", "size").alias("low"), F.coalesce("high", "size").alias("high"))
     parts = max(8, partitions(spark))
     sorted_ = entries.repartition(parts, "column").sortWithinPartitions("column", "node")
     # Partial sums stay packed; only pairs that reach their bound become rows.
@@ -459,7 +482,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = staged(components(first.union(rest)), "components")
 
     out = rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(classes, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("class"))
+    out = out.select("doc_id", "node", "n_shingles", F.coalesce("component", "node").alias("class"))
     least = out.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     out = out.join(least, "class", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", "node", "class", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

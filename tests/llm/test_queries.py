@@ -50,3 +50,15 @@ def test_run_takes_odd_rows(spark, tmp_path):
     assert {r.doc_id for r in out} <= {None, 3, 4} and out
     df.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_repeat_a_doc_id(spark):
+    text = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(2, text("y")), (5, text("x")), (5, text("y") + " end"), (7, text("z")), (7, text("w")), (8, text("z") + " end"), (8, text("w")), (9, text("v")), (9, text("v")), (9, text("V")), (10, ""), (10, text("u")), (11, text("x")), (12, text("t")), (12, text("t") + " end"), (None, text("x"))]
+    df = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for parts in (1, 5):
+        got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, df.repartition(parts), SF).collect()), key=str)
+        least = [t for i, t in got if i == 12]
+        assert len(least) == 1 and least[0] in (text("t"), text("t") + " end")
+        want = [(2, text("y")), (5, text("x")), (7, text("z")), (7, text("w")), (9, text("V")), (10, ""), (10, text("u")), (12, least[0]), (None, text("x"))]
+        assert got == sorted(want, key=str)
