@@ -8,8 +8,9 @@
 4. In a shard, the reduction permanently fixes small sets that dominate every other set that
    could hold the piece: a piece that nothing fits with; two pieces that fill a sequence; where
    at most one more piece fits, the largest that does; where two fit, the largest single
-   one if it is no smaller than any two that fit. Rounds end when none is found; what remains
-   goes best fit, largest first.
+   one if it is no smaller than any two that fit, else that one with the largest that fits beside
+   it, if no two larger than the latter fit. Rounds end when none is found; what remains goes
+   best fit, largest first.
 
 Defined results: null and empty texts are one piece with the end id alone. Rows that repeat a
 doc_id are packed each. Empty tables give no rows. Ids are 32 bits.
@@ -186,6 +187,10 @@ def reduce_by_dominance(left: _Sizes, capacity: int) -> list[list[int]]:
                 elif (len(small) < 3 or sum(small) > room) and best >= _best_pair(left, room, best):
                     left.take(best)
                     fixed.append([size, best])
+                elif (len(small) < 3 or sum(small) > room) and (second := _dominating_second(left, room, best)):
+                    left.take(best)
+                    left.take(second)
+                    fixed.append([size, best, second])
                 else:
                     left.put(size)
                     break
@@ -212,6 +217,23 @@ def _best_pair(left: _Sizes, room: int, most: int) -> int:
     return best
 
 
+def _dominating_second(left: _Sizes, room: int, best: int) -> int:
+    """The largest size that fits beside ``best``, if the two dominate every pair within ``room``; else 0.
+
+    Where no two sizes larger than it fit, one of any pair is no larger than it, and the other no
+    larger than ``best``, the largest that fits.
+    """
+    left.take(best)
+    second = left.largest_within(room - best)
+    left.put(best)
+    larger: list[int] = []
+    for s in left.present[bisect_right(left.present, second) :]:
+        larger += [s] * min(left.count[s], 2 - len(larger))
+        if len(larger) == 2:
+            break
+    return 0 if len(larger) == 2 and sum(larger) <= room else second
+
+
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Best fit, largest first: every size goes where the least room is left."""
     bins: list[list[int]] = []

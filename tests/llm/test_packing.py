@@ -66,6 +66,23 @@ def test_reduction_keeps_the_optimum():
         assert len(fixed) + (optimum(rest, 100) if rest else 0) == optimum(lengths, 100)
 
 
+def test_reduction_fixes_three_sizes():
+    left = packing._Sizes(np.array([50, 30, 19, 18]), 100)
+    assert sorted(packing.reduce_by_dominance(left, 100)[0]) == [19, 30, 50]
+    left = packing._Sizes(np.array([50, 40, 24, 23, 9]), 100)  # 40 and 9 do not dominate 24 and 23
+    assert packing._dominating_second(left, 50, 40) == 0
+    rng, triples = np.random.default_rng(8), 0
+    for _ in range(150):
+        lengths = rng.integers(14, 60, 9).tolist()
+        left = packing._Sizes(np.array(lengths), 100)
+        fixed = packing.reduce_by_dominance(left, 100)
+        rest = [s for s in left.present for _ in range(left.count[s])]
+        triples += sum(len(f) == 3 for f in fixed)
+        assert sorted(rest + [s for f in fixed for s in f]) == sorted(lengths) and all(sum(f) <= 100 for f in fixed)
+        assert len(fixed) + (optimum(rest, 100) if rest else 0) == optimum(lengths, 100)
+    assert triples > 20
+
+
 def test_pack(spark):
     tok = Tokenizer.from_file(PATH)
     texts = [None, "", "Hello  World\n\tof 123 <|endoftext|>x", "é É ß'll don't\x1cx", "word thing " * 3000] + [f"text number {i} " * (i % 90 + 1) for i in range(120)]
