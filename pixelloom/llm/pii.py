@@ -9,13 +9,15 @@ spans of the whole text, so spans longer than a window are whole. Spans that tou
 span, or fail their kind's check, are dropped; the others are added.
 
 Defined results: a null text is empty and has no spans. Rows are independent; texts of any
-length are scanned whole, with memory for one batch of windows. Offsets are code points.
+length are scanned whole, with memory for one batch of windows and the tags of one region. Offsets
+are code points.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,7 @@ STRETCH = re.compile(r"\+?[0-9][0-9\x20().+-]*")
 MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 
 WINDOW, STRIDE, MARGIN = 48, 24, 12
+BLOCK = 2048  # windows tagged at a time
 HIDDEN, EMBED, TAGS = 16, 8, 1 + 2 * len(KINDS)
 TRAIN_SEQUENCES, EPOCHS, BATCH, RATE = 3000, 6, 32, 0.025
 
@@ -287,37 +290,37 @@ def _regions(found, length: int) -> list[tuple[int, int]]:
 
 def model_spans(tagger: Tagger, texts: list[str], founds: list) -> list[list[tuple[int, int, str]]]:
     """Spans that the model finds in each text, reconciled over its windows."""
-    jobs, windows = [], []
+    jobs, windows, ended = [], [], []
     out: list[list] = [[] for _ in texts]
 
     def flush():
-        if not windows:
-            return
-        tags = tagger.decode(np.stack(windows))
-        for k, lo, hi, first, count in jobs:
-            own = np.zeros(hi - lo, np.int8)
-            for w in range(count):
-                a = lo + w * STRIDE
-                x, y = (a if w == 0 else a + (WINDOW - STRIDE) // 2), (hi if w == count - 1 else min(hi, a + (WINDOW + STRIDE) // 2))
-                own[x - lo : y - lo] = tags[first + w, x - a : y - a]
+        if windows:
+            for (own, x, y, at), t in zip(jobs, tagger.decode(np.stack(windows)), strict=True):
+                own[x:y] = t[x - at : y - at]
+        for k, lo, own in ended:
             out[k] += _spans(own, lo)
-        jobs.clear()
-        windows.clear()
+        for done in (jobs, windows, ended):
+            done.clear()
 
     for k, (text, found) in enumerate(zip(texts, founds, strict=True)):
         mails, digits = found
         wanted = (mails, [(a, b) for a, b in digits if len(_digits(text[a:b])) >= 4])
         for lo, hi in _regions(wanted, len(text)):
-            # Very long regions go in parts, cut where the windows are.
-            for a in range(lo, hi, 4096 * STRIDE):
-                b = min(hi, a + 4096 * STRIDE)
-                ids = _ids(text[a:b])
-                count = max(1, -(-(len(ids) - (WINDOW - STRIDE)) // STRIDE))
-                padded = np.full((count - 1) * STRIDE + WINDOW, PAD, np.int16)
+            own = np.zeros(hi - lo, np.int8)  # the tags of the whole region, a byte a character
+            count = max(1, -(-(hi - lo - (WINDOW - STRIDE)) // STRIDE))
+            for first in range(0, count, BLOCK):  # parts of a long region overlap as its windows do
+                last = min(count, first + BLOCK)
+                ids = _ids(text[lo + first * STRIDE : min(hi, lo + (last - 1) * STRIDE + WINDOW)])
+                padded = np.full((last - first - 1) * STRIDE + WINDOW, PAD, np.int16)
                 padded[: len(ids)] = ids
-                jobs.append((k, a, b, len(windows), count))
-                windows += [padded[w * STRIDE : w * STRIDE + WINDOW] for w in range(count)]
-                if len(windows) >= 2048:
+                for w in range(first, last):
+                    at = w * STRIDE
+                    x, y = (at if w == 0 else at + (WINDOW - STRIDE) // 2), (hi - lo if w == count - 1 else at + (WINDOW + STRIDE) // 2)
+                    jobs.append((own, x, y, at))
+                    windows.append(padded[at - first * STRIDE : at - first * STRIDE + WINDOW])
+                if last == count:
+                    ended.append((k, lo, own))
+                if len(windows) >= BLOCK:
                     flush()
     flush()
     return out
@@ -325,7 +328,8 @@ def model_spans(tagger: Tagger, texts: list[str], founds: list) -> list[list[tup
 
 def _spans(tags: np.ndarray, at: int) -> list[tuple[int, int, str]]:
     out, start = [], None
-    for k, t in enumerate([*tags.tolist(), 0]):
+    parts = (tags[lo : lo + 65_536].tolist() for lo in range(0, len(tags), 65_536))
+    for k, t in enumerate(chain(chain.from_iterable(parts), [0])):
         if start is not None and (t == 0 or t % 2 == 1 or t != tags[start] + tags[start] % 2):
             out.append((at + start, at + k, KINDS[(tags[start] - 1) // 2]))
             start = None

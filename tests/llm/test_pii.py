@@ -57,6 +57,18 @@ def test_held_out_accuracy():
     assert hit / len(want) > 0.75 and hit / len(have) > 0.75
 
 
+def test_spans_over_the_parts_of_a_long_region():
+    class Fives:
+        def decode(self, ids):
+            return np.where(ids == ord("5") - 32, 8, 0)
+
+    part = 4096 * pii.STRIDE
+    text = "1" * (part - 10) + "5" * 20 + "1" * part + "5" * 90 + "1" * 30
+    want = [(part - 10, part + 10, "phone"), (2 * part + 10, 2 * part + 100, "phone")]
+    short = "x 1555 1"
+    assert pii.model_spans(Fives(), [short, text, short], [pii.stretches(t) for t in (short, text, short)]) == [[(3, 6, "phone")], want, [(3, 6, "phone")]]
+
+
 def test_find_pii(spark):
     rows = [(i, t, 3) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], 3)]
     out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, n_email int").repartition(2)).collect()}
