@@ -6,7 +6,8 @@ bound), tags characters in overlapping windows around every stretch that could h
 data: a run with ``@``, or digits with the signs that join them, four digits or more. A
 character takes its tag from the window in whose middle it lies most; runs of tags become
 spans of the whole text, so spans longer than a window are whole. Spans that touch a base
-span, or fail their kind's check, are dropped; the others are added.
+span, fail their kind's check or are part of a longer run of letters or digits, are dropped; the
+others are added.
 
 Defined results: a null text is empty and has no spans. Rows are independent; texts of any
 length are scanned whole, with memory for one batch of windows and the tags of one region. Offsets
@@ -348,8 +349,7 @@ def added_spans(text: str, base: list, spans: list) -> list[tuple[int, int, str]
             hi -= 1
         # A part of a longer run of letters or digits is no datum.
         whole = (lo == 0 or not text[lo - 1].isalnum()) and (hi == len(text) or not text[hi].isalnum())
-        joined = kind == "phone" and len(re.findall("[0-9]+", text[lo:hi])) >= 3 or kind != "phone"
-        if hi > lo and whole and joined and valid(kind, text[lo:hi]) and all(b <= lo or hi <= a for a, b in taken):
+        if hi > lo and whole and valid(kind, text[lo:hi]) and all(b <= lo or hi <= a for a, b in taken):
             out.append((lo, hi, kind))
             taken.append((lo, hi))
     return out

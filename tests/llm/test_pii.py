@@ -69,6 +69,13 @@ def test_spans_over_the_parts_of_a_long_region():
     assert pii.model_spans(Fives(), [short, text, short], [pii.stretches(t) for t in (short, text, short)]) == [[(3, 6, "phone")], want, [(3, 6, "phone")]]
 
 
+def test_added_phones_need_no_groups():
+    for text in ("call 030 12345678 now", "call 0301234567 now"):
+        span = (5, len(text) - 4, "phone")
+        assert pii.added_spans(text, [], [span]) == [span]
+    assert pii.added_spans("call 12345 now", [], [(5, 10, "phone")]) == []
+
+
 def test_find_pii(spark):
     rows = [(i, t, 3) for i, t in enumerate(TEXTS)] + [(None, TEXTS[3], 3)]
     out = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, n_email int").repartition(2)).collect()}
