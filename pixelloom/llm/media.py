@@ -1,8 +1,8 @@
 """Media columns from ISO media containers, without decoding payloads.
 
-``read_container`` walks the nested boxes of a file, decodes the sample tables (sizes, chunk
-offsets, samples to chunks, times and sync samples) and gives codec, duration and the byte
-ranges of samples and keyframes. ``write_container`` stores bytes losslessly as 8-bit
+``read_tracks`` walks the nested boxes of a file, decodes the sample tables of each track (sizes,
+chunk offsets, samples to chunks, times and sync samples) and gives its codec, duration and the
+byte ranges of its samples and keyframes. ``write_container`` stores bytes losslessly as 8-bit
 frames of 192 samples, so that the reader can be held against known payloads.
 
 Defined results: null and empty bytes are an empty payload, stored as one frame of spaces by the
@@ -98,12 +98,44 @@ def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
         start += size
 
 
-def read_container(data: bytes) -> dict:
-    """codec, duration (seconds), n_samples, and (offset, size) of all samples and of keyframes of the first track."""
-    found: dict[bytes, tuple[int, int]] = {}
+def read_tracks(data: bytes) -> list[dict]:
+    """codec, duration (seconds), n_samples, and (offset, size) of all samples and of keyframes of each track, in the file's order."""
+    tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, lo, hi in walk(data):
-        found.setdefault(path[-1], (lo, hi))
+        if path[-1] == b"trak":
+            tracks.append({})
+        elif b"trak" in path:
+            tracks[-1].setdefault(path[-1], (lo, hi))
+    if not tracks:
+        raise ValueError("no box b'trak'")
+    return [_read_track(data, found) for found in tracks]
+
 
+def read_container(data: bytes) -> dict:
+    """The first track of ``read_tracks``."""
+    return read_tracks(data)[0]
+
+
+def _sizes(data: bytes, found: dict) -> list[int]:
+    """Sample sizes, from ``stsz`` or the compact ``stz2``."""
+    if b"stsz" in found:
+        lo, hi = found[b"stsz"]
+        fixed, n = struct.unpack_from(">II", data, lo + 4)
+        if not fixed and lo + 12 + 4 * n > hi:
+            raise ValueError("table b'stsz' is cut")
+        return [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, lo + 12))
+    lo, hi = found[b"stz2"]
+    bits, n = data[lo + 7], struct.unpack_from(">I", data, lo + 8)[0]
+    if bits not in (4, 8, 16):
+        raise ValueError(f"table b'stz2' has fields of {bits} bits")
+    if lo + 12 + -(-n * bits // 8) > hi:
+        raise ValueError("table b'stz2' is cut")
+    if bits == 4:
+        return [data[lo + 12 + k // 2] >> (0 if k % 2 else 4) & 15 for k in range(n)]
+    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", data, lo + 12))
+
+
+def _read_track(data: bytes, found: dict) -> dict:
     def table(kind: bytes, width: int = 1, letter: str = "I") -> list:
         if kind not in found:
             return []
@@ -115,14 +147,13 @@ def read_container(data: bytes) -> dict:
         return [flat[i : i + width] for i in range(0, len(flat), width)] if width > 1 else list(flat)
 
     for kind in (b"mdhd", b"stsd", b"stsz"):
-        if kind not in found:
+        if kind not in found and not (kind == b"stsz" and b"stz2" in found):
             raise ValueError(f"no box {kind!r}")
     lo = found[b"mdhd"][0]
     scale, length = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 else struct.unpack_from(">II", data, lo + 12)
     codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
-    lo = found[b"stsz"][0]
-    fixed, n = struct.unpack_from(">II", data, lo + 4)
-    sizes = [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, lo + 12))
+    sizes = _sizes(data, found)
+    n = len(sizes)
     offsets = table(b"stco") or table(b"co64", letter="Q")
     runs, samples = table(b"stsc", 3), []
     for k, (first, per, _) in enumerate(runs):
@@ -149,16 +180,16 @@ def _columns(batches):
     for b in batches:
         out = []
         for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            m = read_container(data)
-            out.append((i, m["codec"], m["duration"], m["n_samples"], [{"offset": o, "size": s} for o, s in m["keyframes"]]))
+            for k, m in enumerate(read_tracks(data)):
+                out.append((i, k + 1, m["codec"], m["duration"], m["n_samples"], [{"offset": o, "size": s} for o, s in m["keyframes"]]))
         ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
-        kinds = [pa.int64(), pa.string(), pa.float64(), pa.int64(), ranges]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "codec", "duration", "n_samples", "keyframes"])
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), ranges]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "track", "codec", "duration", "n_samples", "keyframes"])
 
 
 def media_columns(files: DataFrame, file_id: str, content: str) -> DataFrame:
-    """id, codec, duration, n_samples and keyframe byte ranges for rows of container bytes."""
-    return files.select(F.col(file_id).cast("long"), content).mapInArrow(_columns, "id long, codec string, duration double, n_samples long, keyframes array<struct<offset:bigint,size:bigint>>")
+    """id, track (1, 2, ... in the file's order), codec, duration, n_samples and keyframe byte ranges: one row a track of container bytes."""
+    return files.select(F.col(file_id).cast("long"), content).mapInArrow(_columns, "id long, track int, codec string, duration double, n_samples long, keyframes array<struct<offset:bigint,size:bigint>>")
 
 
 def _round_trip(batches):

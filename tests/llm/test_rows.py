@@ -133,3 +133,22 @@ def test_media(spark, docs):
     assert media.media_columns(files, "id", "content").first().n_samples == 2
     with pytest.raises(ValueError, match="size"):
         media.read_container(b"\0\0\0\x01moovxxxxxxxxxxxxxxxx")
+
+
+def test_media_of_several_tracks(spark):
+    def track(codec, scale, length, sizes, at, keys=None, compact=False):
+        box, full, u32 = media._box, media._full, media._u32
+        table = [full(b"stsd", u32(1), box(codec, bytes(8))), full(b"stts", u32(1, len(sizes), 1)), full(b"stsc", u32(1, 1, len(sizes), 1)), full(b"stco", u32(1, at))]
+        table += [full(b"stz2", u32(16, len(sizes)), b"".join(x.to_bytes(2, "big") for x in sizes)) if compact else full(b"stsz", u32(0, len(sizes), *sizes))]
+        table += [full(b"stss", u32(len(keys), *keys))] if keys else []
+        return box(b"trak", box(b"mdia", full(b"mdhd", u32(0, 0, scale, length, 0)), box(b"minf", box(b"stbl", *table))))
+
+    tracks = [track(b"mp4a", 1000, 1500, [3, 4], 10), track(b"avc1", 600, 1200, [5, 6, 7, 8], 100, [1, 4]), track(b"text", 10, 10, [9], 50, compact=True)]
+    file = media._box(b"moov", *tracks)
+    rows = media.media_columns(spark.createDataFrame([(1, bytearray(file)), (2, bytearray(media.write_container(b"x" * 192)))], "id long, content binary"), "id", "content").collect()
+    got = [(r.id, r.track, r.codec, r.duration, r.n_samples, [tuple(k) for k in r.keyframes]) for r in sorted(rows)]
+    assert got[:3] == [(1, 1, "mp4a", 1.5, 2, [(10, 3), (13, 4)]), (1, 2, "avc1", 2.0, 4, [(100, 5), (118, 8)]), (1, 3, "text", 1.0, 1, [(50, 9)])]
+    assert [r[:3] for r in got[3:]] == [(2, 1, "raw ")]
+    assert media.read_container(file)["codec"] == "mp4a"
+    with pytest.raises(ValueError, match="trak"):
+        media.read_tracks(media._box(b"moov"))
