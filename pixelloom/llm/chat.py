@@ -129,7 +129,7 @@ class _Reader:
             inner = formatted[len(self.template.begin) : -len(end)]
             if formatted.startswith(self.template.begin) and self.template.end not in inner:
                 role, _, text = inner.partition(self.template.after_role)
-                self.all.update(f"{unescape_role(role)}\n{unescape(text)}".encode("utf-8", "surrogatepass"))
+                self.all.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode("utf-8", "surrogatepass"))
                 self.turns, self.buffer = self.turns + 1, []
 
     def row(self, conv):
@@ -158,5 +158,8 @@ def _read_back(template: ChatTemplate):
 
 
 def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests of each conversation, parsed from the segments of ``format_chat`` (in their order)."""
+    """Digests of each conversation, parsed from the segments of ``format_chat`` (in their order).
+
+    ``turns_sha256`` is that of role, line end, text, line end of each turn.
+    """
     return segments.mapInArrow(_read_back(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -101,7 +101,7 @@ def test_chat(spark):
     for c, turns in convs.items():
         learned = "".join(t for role, t in turns if role == "assistant")
         assert (got[c].n_turns, got[c].loss_chars) == (len(turns), len(learned))
-        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}" for a, b in turns).encode()).hexdigest()
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert got[c].loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
     assert got[1].valid and not got[2].valid and got[-1].valid
     assert chat.read_back(chat.format_chat(df.limit(0))).count() == 0
