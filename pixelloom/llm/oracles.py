@@ -24,27 +24,27 @@ def quality_sql(rules: QualityRules = QualityRules()) -> str:
     for code in sorted(rules.common_words):
         words, shares = list(rules.common_words[code]), [*map(float, rules.common_words[code].values())]
         classes = [x / sum(rules.character_classes[code]) for x in rules.character_classes[code]]
-        refs.append(f"('{code}', {_list(words)}, {_list([*shares, 1 - sum(shares)])}, {_list(classes)})")
+        refs.append(f"('{code}', {_list(words)}, {_list([*shares, 1 - sum(shares)])}, {_list(classes)}, {rules.max_char_distance[code]}::DOUBLE)")
     every = sorted({w for ws in rules.common_words.values() for w in ws})
     cases = ", ".join("'" + v + "'" for v in sorted({v for w in every for v in (w, w.capitalize(), w.upper())}))
     left = lambda regex: f"length(regexp_replace(t, '{regex}', '', 'g'))"
     return f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words FROM documents),
-refs(code, ref_words, ref_shares, ref_classes) AS (VALUES {", ".join(refs)}),
+refs(code, ref_words, ref_shares, ref_classes, char_limit) AS (VALUES {", ".join(refs)}),
 pos AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM d WHERE len(words) >= 3),
 win AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM pos),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM win WHERE n > 1) GROUP BY 1),
 f AS (SELECT doc_id, lang, len(words)::BIGINT AS n_words, length(t) AS chars, {left(SPACE)}::BIGINT AS word_chars, (length(t) - {left("[#*$%&|<>]")})::BIGINT AS n_symbols,
   length(t) - {left("[a-z]")} AS lo, length(t) - {left("[A-Z]")} AS up, length(t) - {left("[0-9]")} AS di, length(t) - {left(SPACE)} AS sp, length(t) - {left("[^" + chr(92) + "x00-" + chr(92) + "x7F]")} AS wi,
   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines, list_transform(list_filter(words, lambda w: w IN ({cases})), lambda w: lower(w)) AS common FROM d),
-h AS (SELECT *, [lo, up, di, sp, chars - lo - up - di - sp - wi, wi]::DOUBLE[] AS counts FROM f),
-p AS (SELECT h.*, code, ref_shares, ref_classes, list_transform(counts, lambda c: c / greatest(chars, 1)) AS classes, list_transform(ref_words, lambda r: len(list_filter(common, lambda c: c = r)) / greatest(n_words, 1)::DOUBLE) AS shares FROM h, refs),
+h AS (SELECT *, [lo, up, di, sp, chars - lo - up - di - sp - n_symbols - wi, n_symbols, wi]::DOUBLE[] AS counts FROM f),
+p AS (SELECT h.*, code, ref_shares, ref_classes, char_limit, list_transform(counts, lambda c: c / greatest(chars, 1)) AS classes, list_transform(ref_words, lambda r: len(list_filter(common, lambda c: c = r)) / greatest(n_words, 1)::DOUBLE) AS shares FROM h, refs),
 p2 AS (SELECT *, list_concat(shares, [1 - list_sum(shares)]) AS full_shares FROM p),
-dist AS (SELECT doc_id, lang, code, {_jsd("classes", "ref_classes")} AS dc, {_jsd("full_shares", "ref_shares")} AS dw FROM p2),
+dist AS (SELECT doc_id, lang, code, {_jsd("classes", "ref_classes")} - char_limit AS dc, {_jsd("full_shares", "ref_shares")} - {rules.max_word_distance}::DOUBLE * sqrt(greatest(1, {rules.full_words}::DOUBLE / greatest(n_words, 1))) AS dw FROM p2),
 best AS (SELECT doc_id, coalesce(min(dc) FILTER (WHERE code = lang), min(dc)) AS dc, coalesce(min(dw) FILTER (WHERE code = lang), min(dw)) AS dw FROM dist GROUP BY 1),
 o AS (SELECT f.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, dc, dw FROM f LEFT JOIN rep USING (doc_id) JOIN best USING (doc_id)),
 b AS (SELECT *, n_words < {rules.min_words_base} OR 100 * n_repeat_words > {rules.max_repeat_percent} * n_words AS base_failed FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND (chars < {rules.min_chars} OR dc <= {rules.max_char_distance}) AND (n_words < {rules.min_words} OR dw <= {rules.max_word_distance}) AS kept FROM b"""
+  NOT base_failed AND (chars < {rules.min_chars} OR dc <= 0) AND (n_words < {rules.min_words} OR dw <= 0) AS kept FROM b"""
 
 
 LINES = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),

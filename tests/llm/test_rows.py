@@ -44,6 +44,20 @@ def test_quality_counts(spark, docs):
     assert got == want
 
 
+def test_repeats_in_long_texts(spark):
+    plain = " ".join(f"w{i}" for i in range(1_000_000))
+    rows = [(1, plain), (2, plain + " w5 w6 w7 w8"), (3, " ".join(f"v{i}" for i in range(4096)) + " v0 v1 v2"), (4, " ".join(f"v{i}" for i in range(4093)) + " v0 v1 v2")]
+    got = {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality.quality(spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")).collect()}
+    assert got == {1: (1_000_000, 0), 2: (1_000_004, 8), 3: (4099, 6), 4: (4096, 6)}
+
+
+def test_quality_on_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality(docs.join(labels.select("doc_id", "quality"), "doc_id"), keep=["quality"]).where("not base_failed").select("row.quality", "kept").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 200 and sum(bad) <= 0.02 * len(bad) and sum(good) >= 0.998 * len(good)
+
+
 def test_quality_verdict(spark):
     clean = "the of and to in a is that for it was on with as be " * 2 + " ".join(f"wor{chr(97 + i % 26)}{chr(97 + i // 26)}d" for i in range(120))
     junk = " ".join(f"{i * 7919 % 10007:05d}|{i}##" for i in range(150))
