@@ -20,7 +20,10 @@ from pixelloom.llm.common import read_table, staged
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return quality.quality(docs, keep=docs.columns).where("kept").select("row.*")
+    judged = quality.quality(docs, keep=docs.columns).select("row", "kept")
+    # Not deterministic for the optimizer, so that the filter stays above the counts; pushed
+    # below them, it would hold each of their expressions many times over.
+    return judged.withColumn("kept", F.col("kept") & (F.rand(0) >= 0)).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
