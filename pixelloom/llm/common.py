@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,3 +54,13 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spans_of_bytes(texts: pa.Array, most: int = 8 << 20) -> list[tuple[int, int]]:
+    """(start, stop) of runs of texts that hold about ``most`` bytes, one text at least; nulls have none."""
+    if not len(texts):
+        return []
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = np.unique(np.searchsorted(ends, np.arange(most, int(ends[-1]) + 1, most), side="left") + 1).tolist()
+    cuts = [0, *(c for c in cuts if c < len(texts)), len(texts)]
+    return list(zip(cuts, cuts[1:], strict=False))

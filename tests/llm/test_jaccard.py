@@ -37,9 +37,10 @@ def family(rng, base, count, most):
     return [" ".join(f"{w}{rng.random():.3f}" if rng.random() < rng.random() * most else w for w in words) for _ in range(count)]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_against_all_pairs(spark, seed, monkeypatch):
-    monkeypatch.setattr(jaccard, "HEAVY", 5)
+@pytest.mark.parametrize(("seed", "wide", "block"), [(1, 64, 1_000_000), (2, 3, 1_500)])
+def test_against_all_pairs(spark, seed, wide, block, monkeypatch):
+    for name, value in (("HEAVY", 5), ("WIDE", wide), ("BLOCK_COLUMNS", block)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 5)))
     texts = [None, "", " \n", "one two", "One  TWO", "one two three four", "é ü ß ä ö", "É ü ß ä ö", "same words here again ok", "same words\nhere again OK", "x " * 20_000]
