@@ -5,8 +5,10 @@ chunk offsets, samples to chunks, times and sync samples) and gives its codec, d
 byte ranges of its samples and keyframes. ``write_container`` stores bytes losslessly as 8-bit
 frames of 192 samples, so that the reader can be held against known payloads.
 
-Defined results: null and empty bytes are an empty payload, stored as one frame of spaces by the
-query. Damaged containers raise ``ValueError`` with the box at fault. Rows are independent.
+Defined results: ``text_media`` stores a null or empty text as one frame of spaces. ``read_tracks`` and
+``read_container`` raise ``ValueError`` with the box at fault. ``media_columns`` raises nothing: a file that
+cannot be read, null and empty ones too, gives one row with its status ("empty" or "damaged"), a message
+and nulls. Tables are never longer than their boxes allow, boxes nest to ``MAX_DEPTH``. Rows are independent.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 FRAME = 192  # bytes in a frame: 16 x 12 samples of 8 bits
 KEY_EVERY = 8
+MAX_DEPTH = 32
 TIMESCALE = 600
 PER_CHUNK = 16
 #: Boxes that hold other boxes.
@@ -77,29 +80,38 @@ def write_container(payload: bytes) -> bytes:
     return file_type + movie(at) + _box(b"mdat", payload)
 
 
-def walk(data, start: int = 0, end: int | None = None, path: tuple = ()):
+def walk(data: bytes):
     """(path, body start, body end) of every box, outer ones first; bodies are not copied."""
-    end = len(data) if end is None else end
-    while start < end:
+    open_ = [(0, len(data), ())]  # what is left of each box that is being walked
+    while open_:
+        start, end, path = open_.pop()
+        if start >= end:
+            continue
         if end - start < 8:
             raise ValueError(f"{end - start} stray bytes after the boxes of {path}")
         size, kind = struct.unpack_from(">I4s", data, start)
         head = 8
         if size == 1:
+            if end - start < 16:
+                raise ValueError(f"box {kind!r} at {start} is cut")
             size, head = struct.unpack_from(">Q", data, start + 8)[0], 16
         elif size == 0:
             size = end - start
         if size < head or start + size > end:
             raise ValueError(f"box {kind!r} at {start} has size {size}")
         own = (*path, kind)
+        if len(own) > MAX_DEPTH:
+            raise ValueError(f"boxes nest deeper than {MAX_DEPTH}")
         yield own, start + head, start + size
+        open_.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, start + head, start + size, own)
-        start += size
+            open_.append((start + head, start + size, own))
 
 
 def read_tracks(data: bytes) -> list[dict]:
     """codec, duration (seconds), n_samples, and (offset, size) of all samples and of keyframes of each track, in the file's order."""
+    if not data:
+        raise ValueError("no bytes")
     tracks: list[dict[bytes, tuple[int, int]]] = []
     for path, lo, hi in walk(data):
         if path[-1] == b"trak":
@@ -108,7 +120,7 @@ def read_tracks(data: bytes) -> list[dict]:
             tracks[-1].setdefault(path[-1], (lo, hi))
     if not tracks:
         raise ValueError("no box b'trak'")
-    return [_read_track(data, found) for found in tracks]
+    return [_Track(data, found).read() for found in tracks]
 
 
 def read_container(data: bytes) -> dict:
@@ -116,58 +128,80 @@ def read_container(data: bytes) -> dict:
     return read_tracks(data)[0]
 
 
-def _sizes(data: bytes, found: dict) -> list[int]:
-    """Sample sizes, from ``stsz`` or the compact ``stz2``."""
-    if b"stsz" in found:
-        lo, hi = found[b"stsz"]
-        fixed, n = struct.unpack_from(">II", data, lo + 4)
-        if not fixed and lo + 12 + 4 * n > hi:
-            raise ValueError("table b'stsz' is cut")
-        return [fixed] * n if fixed else list(struct.unpack_from(f">{n}I", data, lo + 12))
-    lo, hi = found[b"stz2"]
-    bits, n = data[lo + 7], struct.unpack_from(">I", data, lo + 8)[0]
-    if bits not in (4, 8, 16):
-        raise ValueError(f"table b'stz2' has fields of {bits} bits")
-    if lo + 12 + -(-n * bits // 8) > hi:
-        raise ValueError("table b'stz2' is cut")
-    if bits == 4:
-        return [data[lo + 12 + k // 2] >> (0 if k % 2 else 4) & 15 for k in range(n)]
-    return list(struct.unpack_from(f">{n}{'B' if bits == 8 else 'H'}", data, lo + 12))
-
-
-def _read_track(data: bytes, found: dict) -> dict:
-    def table(kind: bytes, width: int = 1, letter: str = "I") -> list:
-        if kind not in found:
-            return []
-        lo, hi = found[kind]
-        n = struct.unpack_from(">I", data, lo + 4)[0]
-        if lo + 8 + n * width * struct.calcsize(letter) > hi:
-            raise ValueError(f"table {kind!r} is cut")
-        flat = struct.unpack_from(f">{n * width}{letter}", data, lo + 8)
-        return [flat[i : i + width] for i in range(0, len(flat), width)] if width > 1 else list(flat)
+class _Track:
+    """The sample tables of one track; every read is held against its box."""
 
-    for kind in (b"mdhd", b"stsd", b"stsz"):
-        if kind not in found and not (kind == b"stsz" and b"stz2" in found):
+    def __init__(self, data: bytes, found: dict):
+        self.data, self.found = data, found
+
+    def at(self, kind: bytes, offset: int, form: str) -> tuple:
+        """Values at an offset in a box's body."""
+        if kind not in self.found:
             raise ValueError(f"no box {kind!r}")
-    lo = found[b"mdhd"][0]
-    scale, length = struct.unpack_from(">IQ", data, lo + 20) if data[lo] == 1 else struct.unpack_from(">II", data, lo + 12)
-    codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
-    sizes = _sizes(data, found)
-    n = len(sizes)
-    offsets = table(b"stco") or table(b"co64", letter="Q")
-    runs, samples = table(b"stsc", 3), []
-    for k, (first, per, _) in enumerate(runs):
-        last = runs[k + 1][0] if k + 1 < len(runs) else len(offsets) + 1
-        for chunk in range(first, last):
-            at = offsets[chunk - 1]
-            for size in sizes[len(samples) : len(samples) + per]:
-                samples.append((at, size))
-                at += size
-    if len(samples) != n:
-        raise ValueError(f"chunks hold {len(samples)} samples of {n}")
-    keys = table(b"stss") if b"stss" in found else range(1, n + 1)
-    ticks = sum(a * b for a, b in table(b"stts", 2))
-    return {"codec": codec, "duration": length / scale if scale else 0.0, "ticks": ticks, "n_samples": n, "samples": samples, "keyframes": [samples[k - 1] for k in keys]}
+        lo, hi = self.found[kind]
+        if lo + offset + struct.calcsize(form) > hi:
+            raise ValueError(f"table {kind!r} is cut")
+        return struct.unpack_from(form, self.data, lo + offset)
+
+    def table(self, kind: bytes, width: int = 1, letter: str = "I") -> list:
+        if kind not in self.found:
+            return []
+        n = self.at(kind, 4, ">I")[0] * width
+        lo, hi = self.found[kind]
+        if lo + 8 + n * struct.calcsize(f">{letter}") > hi:
+            raise ValueError(f"table {kind!r} is cut")
+        flat = self.at(kind, 8, f">{n}{letter}")
+        return [flat[i : i + width] for i in range(0, n, width)] if width > 1 else list(flat)
+
+    def sizes(self) -> list[int]:
+        """Sample sizes, from ``stsz`` or the compact ``stz2``; times and chunks tell how many a fixed size has."""
+        if b"stsz" in self.found:
+            fixed, n = self.at(b"stsz", 4, ">II")
+            if not fixed:
+                lo, hi = self.found[b"stsz"]
+                if lo + 12 + 4 * n > hi:
+                    raise ValueError("table b'stsz' is cut")
+                return list(self.at(b"stsz", 12, f">{n}I"))
+            if n * fixed > len(self.data):
+                raise ValueError(f"{n} samples of {fixed} bytes are more than the file")
+            return [fixed] * n
+        bits, n = self.at(b"stz2", 7, ">BI")
+        if bits not in (4, 8, 16):
+            raise ValueError(f"table b'stz2' has fields of {bits} bits")
+        lo, hi = self.found[b"stz2"]
+        if lo + 12 + -(-n * bits // 8) > hi:
+            raise ValueError("table b'stz2' is cut")
+        if bits == 4:
+            return [self.data[lo + 12 + k // 2] >> (0 if k % 2 else 4) & 15 for k in range(n)]
+        return list(self.at(b"stz2", 12, f">{n}{'B' if bits == 8 else 'H'}"))
+
+    def samples(self, sizes: list[int]) -> list[tuple[int, int]]:
+        offsets = self.table(b"stco") or self.table(b"co64", letter="Q")
+        runs, out = self.table(b"stsc", 3), []
+        for k, (first, per, _) in enumerate(runs):
+            last = runs[k + 1][0] if k + 1 < len(runs) else len(offsets) + 1
+            if not 1 <= first <= last <= len(offsets) + 1:
+                raise ValueError(f"chunks {first} to {last - 1} of {len(offsets)}")
+            for chunk in range(first, last):
+                at = offsets[chunk - 1]
+                for size in sizes[len(out) : len(out) + per]:
+                    out.append((at, size))
+                    at += size
+        if len(out) != len(sizes):
+            raise ValueError(f"chunks hold {len(out)} samples of {len(sizes)}")
+        return out
+
+    def read(self) -> dict:
+        version = self.at(b"mdhd", 0, ">B")[0]
+        scale, length = self.at(b"mdhd", 20, ">IQ") if version == 1 else self.at(b"mdhd", 12, ">II")
+        codec = self.at(b"stsd", 12, ">4s")[0].decode("latin-1")
+        samples = self.samples(self.sizes())
+        n = len(samples)
+        keys = self.table(b"stss") if b"stss" in self.found else range(1, n + 1)
+        if bad := [k for k in keys if not 1 <= k <= n]:
+            raise ValueError(f"keyframe {bad[0]} of {n} samples")
+        ticks = sum(a * b for a, b in self.table(b"stts", 2))
+        return {"codec": codec, "duration": length / scale if scale else 0.0, "ticks": ticks, "n_samples": n, "samples": samples, "keyframes": [samples[k - 1] for k in keys]}
 
 
 def payload_of(text: str | None) -> bytes:
@@ -177,19 +211,29 @@ def payload_of(text: str | None) -> bytes:
 
 
 def _columns(batches):
+    ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
+    kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), ranges, pa.string(), pa.string()]
+    names = ["id", "track", "codec", "duration", "n_samples", "keyframes", "status", "message"]
     for b in batches:
         out = []
-        for i, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for k, m in enumerate(read_tracks(data)):
-                out.append((i, k + 1, m["codec"], m["duration"], m["n_samples"], [{"offset": o, "size": s} for o, s in m["keyframes"]]))
-        ranges = pa.list_(pa.struct([("offset", pa.int64()), ("size", pa.int64())]))
-        kinds = [pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int64(), ranges]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["id", "track", "codec", "duration", "n_samples", "keyframes"])
+        for i, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):  # one file at a time leaves the Arrow batch
+            try:
+                tracks = read_tracks(data.as_py() or b"")
+            except ValueError as e:
+                out.append((i, None, None, None, None, None, "empty" if not data.as_py() else "damaged", str(e)))
+                continue
+            for k, m in enumerate(tracks):
+                out.append((i, k + 1, m["codec"], m["duration"], m["n_samples"], [{"offset": o, "size": s} for o, s in m["keyframes"]], "ok", None))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
 
 
 def media_columns(files: DataFrame, file_id: str, content: str) -> DataFrame:
-    """id, track (1, 2, ... in the file's order), codec, duration, n_samples and keyframe byte ranges: one row a track of container bytes."""
-    return files.select(F.col(file_id).cast("long"), content).mapInArrow(_columns, "id long, track int, codec string, duration double, n_samples long, keyframes array<struct<offset:bigint,size:bigint>>")
+    """id, track (1, 2, ... in the file's order), codec, duration, n_samples, keyframe byte ranges, status and message.
+
+    One row a track of container bytes; one row for a file without any that can be read.
+    """
+    schema = "id long, track int, codec string, duration double, n_samples long, keyframes array<struct<offset:bigint,size:bigint>>, status string, message string"
+    return files.select(F.col(file_id).cast("long"), F.col(content).cast("binary")).mapInArrow(_columns, schema)
 
 
 def _round_trip(batches):

@@ -140,15 +140,71 @@ def test_media(spark, docs):
         m = media.read_container(file)
         assert b"".join(file[o : o + s] for o, s in m["samples"]) == data
         assert m["codec"] == "raw " and m["duration"] * 600 == m["ticks"] and len(m["keyframes"]) == -(-m["n_samples"] // 8)
-    by = {(r.doc_id, r.n_bytes): r for r in media.text_media(docs).collect()}
-    r = by[(3, 3)]
-    assert r.payload_bytes == 192 and r.payload_sha256 == hashlib.sha256(b"one" + b" " * 189).hexdigest() and r.tail_crc32 == zlib.crc32(b" " * 16)
-    files = spark.createDataFrame([(1, bytearray(media.write_container(b"x" * 384)))], "id long, content binary")
-    assert media.media_columns(files, "id", "content").first().n_samples == 2
+    want = Counter()
+    for r in docs.collect():
+        raw = (r.text or "").encode()
+        data = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        file = container(data)
+        frames, start = len(data) // 192, len(file) - len(data)
+        keys = ",".join(f"{start + 192 * k}+192" for k in range(0, frames, 8))
+        feature = f"raw {frames * 20 / 600:.4f}s {frames} samples {-(-frames // 8)} keyframes {zlib.crc32(keys.encode()):08x} {zlib.crc32(data):08x}"
+        want[r.doc_id, len(raw), len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-16:]), len(file), hashlib.sha256(file).hexdigest(), feature] += 1
+    clash = docs.withColumnRenamed("n_words", "n_bytes")
+    assert Counter(map(tuple, media.text_media(clash).collect())) == want
+    assert media.text_media(docs.limit(0)).count() == 0
+
+
+def container(data):
+    """The file of a payload, put together byte by byte without the module."""
+    n = len(data) // 192
+    u = lambda *x: b"".join(v.to_bytes(4, "big") for v in x)
+    box = lambda kind, *parts: u(8 + sum(map(len, parts))) + kind + b"".join(parts)
+    matrix = u(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+    chunks = -(-n // 16)
+    runs = ([(1, 16, 1)] if n >= 16 else []) + ([(chunks, n % 16, 1)] if n % 16 else [])
+    keys = list(range(1, n + 1, 8))
+    entry = box(b"raw ", bytes(6), b"\0\1", bytes(16), b"\0\x10\0\x0c", u(0x480000, 0x480000, 0), b"\0\1", bytes(32), b"\0\x28\xff\xff")
+
+    def moov(at):
+        stbl = box(b"stbl", box(b"stsd", u(0, 1), entry), box(b"stts", u(0, 1, n, 20)), box(b"stss", u(0, len(keys), *keys)), box(b"stsc", u(0, len(runs), *(v for r in runs for v in r))), box(b"stsz", u(0, 192, n)), box(b"stco", u(0, chunks, *(at + 3072 * k for k in range(chunks)))))
+        minf = box(b"minf", box(b"vmhd", u(1), bytes(8)), box(b"dinf", box(b"dref", u(0, 1), box(b"url ", u(1)))), stbl)
+        mdia = box(b"mdia", box(b"mdhd", u(0, 0, 0, 600, 20 * n, 0)), box(b"hdlr", u(0, 0), b"vide", bytes(13)), minf)
+        tkhd = box(b"tkhd", u(3, 0, 0, 1, 0, 20 * n, 0, 0, 0, 0), matrix, u(16 << 16, 12 << 16))
+        return box(b"moov", box(b"mvhd", u(0, 0, 0, 600, 20 * n, 0x10000, 0x1000000, 0, 0), matrix, bytes(24), u(2)), box(b"trak", tkhd, mdia))
+
+    ftyp = box(b"ftyp", b"qt  ", u(0x200), b"qt  isom")
+    return ftyp + moov(len(ftyp) + len(moov(0)) + 8) + box(b"mdat", data)
+
+
+def test_media_that_cannot_be_read(spark):
+    good = media.write_container(b"x" * 384)
+    cut = lambda kind, at, value: (i := good.index(kind)) and good[: i + at] + value + good[i + at + len(value) :]
+    nested = b""
+    for _ in range(1500):
+        nested = media._box(b"moov", nested)
+    bad = [None, b"", b"abc", b"\0\0\0\x01moov", nested, good[:200], cut(b"stsz", 12, b"\xff\xff\xff\xff"), cut(b"stss", 12, b"\0\0\0\x09"), cut(b"stsc", 12, b"\0\0\0\x07"), cut(b"stts", 8, b"\xff\xff\xff\xff"), cut(b"mdhd", 0, b"free"), media._box(b"moov")]
+    rows = [(k, None if x is None else bytearray(x), "s") for k, x in enumerate([*bad, good])] + [(None, bytearray(good), "s")]
+    out = media.media_columns(spark.createDataFrame(rows, "id long, content binary, status string"), "id", "content").collect()
+    by = {r.id: r for r in out}
+    assert len(out) == len(rows) and [by[k].status for k in range(len(bad))] == ["empty"] * 2 + ["damaged"] * (len(bad) - 2)
+    assert all(by[k].message and by[k].track is None and by[k].keyframes is None for k in range(len(bad)))
+    assert by[len(bad)].status == by[None].status == "ok" and by[None].n_samples == 2
     with pytest.raises(ValueError, match="size"):
         media.read_container(b"\0\0\0\x01moovxxxxxxxxxxxxxxxx")
 
 
+def test_media_with_wide_boxes():
+    """Version 1 of mdhd, co64, a box of 64-bit size, stz2 of 4 bits and a last box without a size."""
+    box, full, u32 = media._box, media._full, media._u32
+    q = lambda *x: b"".join(v.to_bytes(8, "big") for v in x)
+    stbl = box(b"stbl", full(b"stsd", u32(1), box(b"avc1", bytes(8))), full(b"stts", u32(1, 3, 5)), full(b"stsc", u32(2, 1, 2, 1, 2, 1, 1)), full(b"co64", u32(2), q(2**33, 7)), full(b"stz2", u32(4, 3), b"\x12\x30"), full(b"stss", u32(1, 3)))
+    mdia = box(b"mdia", full(b"mdhd", q(0, 0), u32(90_000), q(45_000), u32(0), version=1), box(b"minf", stbl))
+    trak = box(b"trak", mdia)
+    moov = u32(1) + b"moov" + q(16 + len(trak)) + trak
+    m = media.read_container(moov + u32(0) + b"mdat" + b"rest")
+    assert (m["codec"], m["duration"], m["ticks"], m["samples"], m["keyframes"]) == ("avc1", 0.5, 15, [(2**33, 1), (2**33 + 1, 2), (7, 3)], [(7, 3)])
+
+
 def test_media_of_several_tracks(spark):
     def track(codec, scale, length, sizes, at, keys=None, compact=False):
         box, full, u32 = media._box, media._full, media._u32
