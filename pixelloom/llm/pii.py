@@ -3,20 +3,19 @@
 The patterns (e-mail, IPv4, card with Luhn, international phone) give the base spans. The
 model, trained here in numpy from generated labelled spans (``TRAIN_SEQUENCES`` of them, a fixed
 bound), tags characters in overlapping windows around every stretch that could hold personal
-data: a run with ``@``, or digits with the signs that join them, four digits or more. A
-character takes its tag from the window in whose middle it lies most; runs of tags become
-spans of the whole text, so spans longer than a window are whole. Spans that touch a base
-span, fail their kind's check or are part of a longer run of letters or digits, are dropped; the
-others are added.
+data: a run with ``@``, or digits with the signs that join them, four digits or more. Where windows
+overlap their emissions are averaged, and the best path of tags is found once for the whole
+region, over all its windows' borders; runs of tags become spans, so spans longer than a window are
+whole. Spans that touch a base span, fail their kind's check or are part of a longer run of
+letters or digits, are dropped; the others are added.
 
 Defined results: a null text is empty and has no spans. Rows are independent; texts of any
-length are scanned whole, with memory for one batch of windows and the tags of one region. Offsets
-are code points.
+length are scanned whole, with memory for one batch of windows, and for some 30 bytes a character of the
+longest region. Offsets are code points.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import chain
 
@@ -34,8 +33,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 STRETCH = re.compile(r"\+?[0-9][0-9\x20().+-]*")
 MAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 
-WINDOW, STRIDE, MARGIN = 48, 24, 12
-BLOCK = 2048  # windows tagged at a time
+STRIDE, MARGIN = 24, 12
+WINDOW = 2 * STRIDE  # so that a window is two segments, and a segment in two windows
+BLOCK = 2048  # segments tagged at a time
 HIDDEN, EMBED, TAGS = 16, 8, 1 + 2 * len(KINDS)
 TRAIN_SEQUENCES, EPOCHS, BATCH, RATE = 3000, 6, 32, 0.025
 
@@ -289,40 +289,99 @@ def _regions(found, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def _segment_emissions(tagger: Tagger, ids: np.ndarray, last: np.ndarray):
+    """(first segment, emissions (segment, time, tag)) of blocks of segments, averaged over the windows that hold them.
+
+    ``ids`` are regions of whole segments one after the other, ``last`` marks each region's last segment.
+    """
+    for lo in range(0, len(last), BLOCK):
+        hi = min(len(last), lo + BLOCK)
+        at = np.arange(max(0, lo - 1), hi)
+        at = at[~last[at]]  # a window starts at every segment but a region's last
+        e = tagger.emissions(ids[at[:, None] * STRIDE + np.arange(WINDOW)])[0].transpose(1, 0, 2)
+        sums, times = np.zeros((hi - lo, STRIDE, e.shape[2]), np.float32), np.zeros(hi - lo, np.float32)
+        for k, half in ((at, e[:, :STRIDE]), (at + 1, e[:, STRIDE:])):
+            own = (k >= lo) & (k < hi)
+            sums[k[own] - lo] += half[own]
+            times[k[own] - lo] += 1
+        yield lo, sums / times[:, None, None]
+
+
+def decode_regions(tagger: Tagger, regions: list[np.ndarray]) -> list[np.ndarray]:
+    """The best path of tags of each region (arrays of character ids), over all of its windows.
+
+    A segment is first reduced to its best scores from each tag before it to each tag at its end; these
+    join in order to the tags at all borders; between two known borders the path is found again.
+    """
+    many = np.array([max(2, -(-len(r) // STRIDE)) for r in regions])
+    ends = np.cumsum(many)
+    ids = np.full(ends[-1] * STRIDE, PAD, np.int16)
+    for r, start in zip(regions, (ends - many) * STRIDE, strict=True):
+        ids[start : start + len(r)] = r
+    last, first = np.zeros(ends[-1], bool), np.zeros(ends[-1], bool)
+    last[ends - 1], first[ends - many] = True, True
+    move, begin = tagger.p["move"], tagger.p["start"]
+    blocks = lambda: _segment_emissions(tagger, ids, last)
+    held = list(blocks()) if len(last) <= 2 * BLOCK else None  # longer regions are tagged twice
+
+    best = np.empty((len(last), *move.shape), np.float32)
+    for lo, e in held or blocks():
+        x = np.where(first[lo : lo + len(e), None, None], begin[None, None, :], move[None]) + e[:, 0, None, :]
+        for t in range(1, STRIDE):
+            x = (x[:, :, :, None] + move).max(axis=2) + e[:, t, None, :]
+        best[lo : lo + len(e)] = x
+
+    # Joined for all regions at once, segment by segment, the longest regions first.
+    order = np.argsort(-many, kind="stable")
+    start, count = (ends - many)[order], many[order]
+    score, back = best[start, 0].copy(), np.zeros((len(last), len(begin)), np.int8)
+    for k in range(1, count[0]):
+        n = int(np.searchsorted(-count, -k, side="left"))  # regions with more than k segments
+        x = score[:n, :, None] + best[start[:n] + k]
+        back[start[:n] + k] = x.argmax(axis=1)
+        score[:n] = x.max(axis=1)
+    border = np.empty(len(last), np.int64)  # the tag at each segment's end
+    border[ends[order] - 1] = score.argmax(axis=1)
+    for k in range(count[0] - 1, 0, -1):
+        at = start[: int(np.searchsorted(-count, -k, side="left"))] + k
+        border[at - 1] = back[at, border[at]]
+
+    tags = np.empty((len(last), STRIDE), np.int8)
+    before = np.concatenate([[0], border[:-1]])
+    for lo, e in held or blocks():
+        own = slice(lo, lo + len(e))
+        x, came = np.where(first[own, None], begin[None], move[before[own]]) + e[:, 0], np.empty((STRIDE, len(e), len(begin)), np.int8)
+        for t in range(1, STRIDE):
+            y = x[:, :, None] + move
+            came[t], x = y.argmax(axis=1), y.max(axis=1) + e[:, t]
+        tag, rows = border[own], np.arange(len(e))
+        for t in range(STRIDE - 1, -1, -1):
+            tags[own, t] = tag
+            tag = came[t][rows, tag] if t else tag
+    flat = tags.ravel()
+    return [flat[a : a + len(r)] for a, r in zip(((ends - many) * STRIDE).tolist(), regions, strict=True)]
+
+
 def model_spans(tagger: Tagger, texts: list[str], founds: list) -> list[list[tuple[int, int, str]]]:
-    """Spans that the model finds in each text, reconciled over its windows."""
-    jobs, windows, ended = [], [], []
+    """Spans that the model finds in each text; regions are decoded whole, many short ones at once."""
     out: list[list] = [[] for _ in texts]
+    held, size = [], 0
 
     def flush():
-        if windows:
-            for (own, x, y, at), t in zip(jobs, tagger.decode(np.stack(windows)), strict=True):
-                own[x:y] = t[x - at : y - at]
-        for k, lo, own in ended:
-            out[k] += _spans(own, lo)
-        for done in (jobs, windows, ended):
-            done.clear()
-
-    for k, (text, found) in enumerate(zip(texts, founds, strict=True)):
-        mails, digits = found
-        wanted = (mails, [(a, b) for a, b in digits if len(_digits(text[a:b])) >= 4])
+        nonlocal size
+        if held:
+            for (k, lo, _), tags in zip(held, decode_regions(tagger, [r for _, _, r in held]), strict=True):
+                out[k] += _spans(tags, lo)
+        held.clear()
+        size = 0
+
+    for k, (text, (mails, digits)) in enumerate(zip(texts, founds, strict=True)):
+        wanted = (mails, [(a, b) for a, b in digits if b - a >= 4 and sum(c.isdigit() for c in text[a:b]) >= 4])
         for lo, hi in _regions(wanted, len(text)):
-            own = np.zeros(hi - lo, np.int8)  # the tags of the whole region, a byte a character
-            count = max(1, -(-(hi - lo - (WINDOW - STRIDE)) // STRIDE))
-            for first in range(0, count, BLOCK):  # parts of a long region overlap as its windows do
-                last = min(count, first + BLOCK)
-                ids = _ids(text[lo + first * STRIDE : min(hi, lo + (last - 1) * STRIDE + WINDOW)])
-                padded = np.full((last - first - 1) * STRIDE + WINDOW, PAD, np.int16)
-                padded[: len(ids)] = ids
-                for w in range(first, last):
-                    at = w * STRIDE
-                    x, y = (at if w == 0 else at + (WINDOW - STRIDE) // 2), (hi - lo if w == count - 1 else at + (WINDOW + STRIDE) // 2)
-                    jobs.append((own, x, y, at))
-                    windows.append(padded[at - first * STRIDE : at - first * STRIDE + WINDOW])
-                if last == count:
-                    ended.append((k, lo, own))
-                if len(windows) >= BLOCK:
-                    flush()
+            held.append((k, lo, _ids(text[lo:hi])))
+            size += 2 + (hi - lo) // STRIDE
+            if size >= BLOCK:
+                flush()
     flush()
     return out
 
@@ -382,6 +441,3 @@ def find_pii(docs: DataFrame, tagger: Tagger | None = None, doc_id: str = "doc_i
     tagger = tagger or trained()
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
