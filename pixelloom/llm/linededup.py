@@ -2,26 +2,26 @@
 
 1. Documents are split into lines; each line's key becomes a 128-bit hash.
 2. One aggregation gives, for each hash, the number of documents and the largest doc_id.
-3. Hashes found in at least two documents are dealt to shards. Each shard builds a
-   minimal perfect hash (levels of collision-free bit arrays; a hash's slot is the rank of
+3. Hashes found in at least two documents are dealt to shards of about ``SHARD_LINES``. Each shard
+   builds a minimal perfect hash (levels of collision-free bit arrays; a hash's slot is the rank of
    its bit) over three compact arrays: 64-bit fingerprints, counts and holders.
 4. Documents' hashes stream past their shard's arrays (the blob sorts first in its
-   partition) and are probed in numpy; no line is joined with a line. A shard is replicated
-   for ``salts`` partitions, so that a line in a third of all documents is no hot spot.
-5. The hashes to drop, a list per document, meet the texts by doc_id.
+   partition) and are probed in numpy; no line is joined with a line. A shard is replicated so
+   often that about ``SALT_PROBES`` hashes pass each copy: a line in a third of all documents is no
+   hot spot.
+5. The hashes to drop, a list per document and text, meet the texts.
 
-Memory: one shard, and one Arrow batch. Nothing is collected or broadcast.
+Memory: one shard, and one Arrow batch. Nothing is collected; the table of shards (a row each) is
+broadcast while it is small.
 
 Defined results: a null or empty text is one empty line. Rows that repeat a doc_id count
 as one document; each row loses its own lines. A null doc_id counts as no document and so
 never holds a line; its rows lose every line that is dropped elsewhere. Two different keys
-are mistaken only if 128 bits of hash agree.
+are mistaken only if 128 bits of hash agree. Kept columns may have any names.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,6 +32,7 @@ from pixelloom.llm.common import SPACES, partitions, staged
 
 MIN_CHARS, MIN_DOCS = 20, 3
 LEVELS, GAMMA = 24, 2.0
+SHARD_LINES, SALT_PROBES, BROADCAST_SHARDS = 500_000, 1_000_000, 100_000
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -141,14 +142,15 @@ class LineIndex:
 
 def _hash_lines(batches):
     for b in batches:
-        ids, lows, highs = [], [], []
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for d in {xxhash.xxh3_128_digest(k) for k in line_keys(text) if k}:
-                ids.append(i)
+        at, lows, highs = [], [], []
+        for k, text in enumerate(b.column(2).to_pylist()):
+            for d in {xxhash.xxh3_128_digest(x) for x in line_keys(text) if x}:
+                at.append(k)
                 lows.append(d[:8])
                 highs.append(d[8:])
         low, high = (pa.array(np.frombuffer(b"".join(x), np.int64)) for x in (lows, highs))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), low, high], ["id", "low", "high"])
+        at = pa.array(at, pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), low, high], ["id", "own", "low", "high"])
 
 
 def _build_shard(key, rows):
@@ -178,25 +180,36 @@ def _probe(min_docs: int):
                 ids = part.column("id")
                 own = ids.fill_null(0).to_numpy(zero_copy_only=False)
                 drop = pa.array((count >= min_docs) & ((own != holder) | ids.is_null().to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([ids.filter(drop), part.column("low").filter(drop), part.column("high").filter(drop)], ["id", "low", "high"])
+                yield pa.RecordBatch.from_arrays([part.column(c).filter(drop) for c in ("id", "own", "low", "high")], ["id", "own", "low", "high"])
 
     return run
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str) -> list:
+    """The doc_id, a key of the text, and the text. Rows alike in both lose the same lines; so do rows whose keys clash."""
+    return [F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("own"), F.col(text).alias("text")]
+
+
 def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
-    """(id, low, high) for each document and line hash that it loses; ids may be null."""
+    """(id, own, low, high) for each doc_id, text key and line hash that its rows lose; ids may be null."""
     spark = docs.sparkSession
-    lines = staged(docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_hash_lines, "id long, low long, high long"), "lines")
+    schema = "id long, own long, low long, high long"
+    lines = staged(docs.select(*_keyed(docs, doc_id, text)).mapInArrow(_hash_lines, schema), "lines")
+    known = lines.where("id is not null").groupBy("low", "high").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("holder")).where("docs >= 2")
+    known = staged(known, "known")
     n = max(8, partitions(spark))
-    # Shards hold a bounded share of the distinct lines; salts spread the probes of a shard.
-    shards, salts = n, 4
+    shards = max(n, -(-known.count() // SHARD_LINES))
     shard = F.pmod(F.xxhash64("low", F.lit(1)), F.lit(shards)).cast("int")
-    known = lines.where("id is not null").groupBy("low", "high").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("holder")).where("docs >= 2")
-    blobs = known.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, "shard int, parts array<binary>")
-    blobs = blobs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "parts", F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("low"), F.lit(0).cast("long").alias("high"), F.lit(0).alias("kind"))
-    probes = lines.select(shard.alias("shard"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(salts)).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("parts"), "id", "low", "high", F.lit(1).alias("kind"))
-    both = blobs.unionByName(probes).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").select((F.col("shard") * salts + F.col("salt")).alias("copy"), "parts", "id", "low", "high")
-    return both.mapInArrow(_probe(min_docs), "id long, low long, high long")
+    salts = staged(lines.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / SALT_PROBES).cast("int").alias("salts")), "salts")
+    salts = F.broadcast(salts) if shards <= BROADCAST_SHARDS else salts
+    blobs = known.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, "shard int, parts array<binary>").join(salts, "shard")
+    nothing = [F.lit(None).cast("long").alias(c) for c in ("id", "own", "low", "high")]
+    blobs = blobs.select("shard", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "parts", *nothing, F.lit(0).alias("kind"))
+    probes = lines.withColumn("shard", shard).join(salts, "shard")
+    probes = probes.select("shard", F.pmod(F.xxhash64("id", "own", F.lit(2)), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("parts"), "id", "own", "low", "high", F.lit(1).alias("kind"))
+    both = blobs.unionByName(probes).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    both = both.select((F.col("shard").cast("long") * 2**32 + F.col("salt")).alias("copy"), "parts", "id", "own", "low", "high")
+    return both.mapInArrow(_probe(min_docs), schema)
 
 
 def _rewrite(batches):
@@ -217,12 +230,9 @@ def _rewrite(batches):
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, keep: list[str] | None = None) -> DataFrame:
     """One row per document row: ``row`` (a struct of the kept columns), n_lines, n_dropped and the text ``kept``."""
-    drops = dropped_lines(docs, doc_id, text, min_docs).distinct().groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("drops"))
-    own = docs.select(F.struct(*[F.col(c) for c in keep or [doc_id]]).alias("row"), F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("text"))
-    joined = own.join(drops, own["own_id"].eqNullSafe(drops["id"]), "left").select("row", "text", "drops")
+    drops = dropped_lines(docs, doc_id, text, min_docs).distinct().groupBy("id", "own").agg(F.collect_list(F.struct("low", "high")).alias("drops"))
+    own = docs.select(F.struct(*[F.col(c) for c in keep or [doc_id]]).alias("row"), *_keyed(docs, doc_id, text))
+    drops = drops.select(F.col("id").alias("d_id"), F.col("own").alias("d_own"), "drops")
+    joined = own.join(drops, (own["own"] == F.col("d_own")) & own["id"].eqNullSafe(F.col("d_id")), "left").select("row", "text", "drops")
     kind = joined.schema["row"].dataType.simpleString()
     return joined.mapInArrow(_rewrite, f"row {kind}, n_lines long, n_dropped long, kept string")
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()

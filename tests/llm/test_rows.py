@@ -24,7 +24,7 @@ TEXTS = [
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, ["en", "de", None, "xx"][i % 4], i) for i, t in enumerate(TEXTS)]
-    rows += [(None, f"{LINE}\nnull id", "en", 1), (7, LINE, "en", 7), (7, LINE, "en", 7)]
+    rows += [(None, f"{LINE}\nnull id", "en", 1), (None, f"{LINE}\nanother null id", "en", 1), (7, LINE, "en", 7), (7, LINE, "en", 7), (7, f"x\n{LINE}", "en", 7)]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words long").repartition(3).cache()
 
 
@@ -70,8 +70,14 @@ def test_quality_verdict(spark):
     assert abs(got - np.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
 
 
-def test_line_dedup(spark, docs):
-    got = sorted(((r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in linededup.dedup_lines(docs).collect()), key=str)
+@pytest.mark.parametrize("most", [500_000, 2])
+def test_line_dedup(spark, docs, most, monkeypatch):
+    for name in ("SHARD_LINES", "SALT_PROBES"):
+        monkeypatch.setattr(linededup, name, most)
+    clash = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("id", "own", "low", "high", "kept", "drops", "parts", "n_lines", "row", "shard"))))
+    result = linededup.dedup_lines(clash, keep=clash.columns).collect()
+    assert all(r.row.low == 2 and r.row.row == 8 for r in result)
+    got = sorted(((r.row.doc_id, r.n_lines, r.n_dropped, r.kept) for r in result), key=str)
     rows = docs.collect()
     key = lambda x: re.sub(r"[A-Z]", lambda m: m[0].lower(), re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x))
     held = defaultdict(set)
