@@ -12,12 +12,12 @@
    read round and round until the shard's quota is met, so the first blocks of that order
    are taken once more than the others, never more than ``most_repeats`` times.
 
-Only the table of sources, and a table of shards (two numbers each), meet in one task; rows
-of documents never do. Nothing is collected.
+Only the table of sources meets in one task, and the shards (two numbers each) of one source;
+rows of documents never do. Nothing is collected.
 
 Defined results: a null text has size 0 and takes nothing. Null is a source of its own.
-Repeated rows are documents of their own; among rows alike in doc_id and size it is not
-defined which takes more, but the rows of the result are the same in each run. If all sizes
+Repeated rows are documents of their own; rows alike in doc_id and text are in one shard, and among
+them it is not defined which takes more, but the rows of the result are the same in each run. If all sizes
 are 0, targets are 0.
 """
 
@@ -73,60 +73,75 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray) -> np.ndarray:
     return out
 
 
-def _quotas(most: int, block: int):
+def _rows(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+
+def _source_quotas(most: int, block: int):
+    """Targets and blocks of all sources, from their sizes."""
+
     def run(batches):
-        rows = pa.Table.from_batches(list(batches), schema=None).to_pylist()
-        rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass"), r["shard"]))
-        names: dict = {}
-        for r in rows:
-            names.setdefault(r["source"], []).append(r)
-        sizes = np.array([sum(r["words"] for r in rs) for rs in names.values()], np.int64)
-        weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))])
-        targets = water_fill(sizes, weights, most)
+        rows = [r for b in batches for r in b.to_pylist()]
+        if not rows:
+            return
+        rows.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-8", "surrogatepass")))
+        sizes = np.array([r["words"] for r in rows], np.int64)
+        targets = water_fill(sizes, np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))]), most)
         # A source can give so many whole blocks as its words, read ``most`` times, hold.
         seats = sainte_lague(targets, int(round(float(sizes.sum()) / block)), np.floor(most * sizes / block).astype(np.int64) + 1)
-        out = []
-        for rs, size, target, n in zip(names.values(), sizes.tolist(), targets.tolist(), seats.tolist(), strict=True):
-            words = np.array([r["words"] for r in rs], np.int64)
-            own = sainte_lague(words, n, np.floor(most * words / block).astype(np.int64) + 1)
-            for r, q in zip(rs, own.tolist(), strict=True):
-                out.append((r["source"], r["shard"], size, target, min(q * block, most * r["words"])))
-        kinds = [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["source", "shard", "source_size", "target", "quota"])
+        out = [(r["source"], size, target, n) for r, size, target, n in zip(rows, sizes.tolist(), targets.tolist(), seats.tolist(), strict=True)]
+        yield _rows(out, ["source", "source_size", "target", "blocks"], [pa.string(), pa.int64(), pa.float64(), pa.int64()])
+
+    return run
+
+
+def _shard_quotas(most: int, block: int):
+    """Words that each shard of one source gives."""
+
+    def run(_, rows):
+        rows = rows.sort_by("shard")
+        words = rows["words"].to_numpy()
+        own = sainte_lague(words, rows["blocks"][0].as_py(), np.floor(most * words / block).astype(np.int64) + 1)
+        return rows.drop_columns(["words", "blocks"]).append_column("quota", pa.array(np.minimum(own * block, most * words)))
+
+    return run
+
+
+#: Above so many rows a table of sources or shards is no longer broadcast but shuffled.
+BROADCAST_ROWS = 100_000
 
-    def guarded(batches):
-        held = [b for b in batches if b.num_rows]
-        if held:
-            yield from run(held)
 
-    return guarded
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, most_repeats: int = MOST_REPEATS, block: int = BLOCK, keep: list[str] | None = None) -> DataFrame:
     """One row per document row: (row: the kept columns,) doc_id, source, size, source_size, target, taken."""
     own = [F.struct(*keep).alias("row")] if keep else []
-    d = docs.select(*own, F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"))
+    d = docs.select(*own, F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.size(words_of(F.col(text))).cast("long").alias("size"), F.xxhash64(text).alias("mark"))
     sized = staged(d.drop("row"), "sizes")
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
+    sources = staged(sized.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "sources")
     # So many shards that each has about SHARD_WORDS words; a document is in one shard.
-    per_source = per_source.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.greatest(F.col("words") / SHARD_WORDS, F.col("docs") / 500_000))).cast("int").alias("shards"))
-    order = F.xxhash64("doc_id", "size", F.lit(seed))
+    shards = sources.select(F.col("source").alias("s"), F.greatest(F.lit(1), F.ceil(F.greatest(F.col("words") / SHARD_WORDS, F.col("docs") / 500_000))).cast("int").alias("shards"))
+    shards = _small(staged(shards, "shards"))
 
     def dealt(x: DataFrame) -> DataFrame:
-        return x.join(F.broadcast(shards) if small else shards, x["source"].eqNullSafe(shards["s"]), "left").withColumn("shard", F.pmod(order, F.col("shards")).cast("int")).drop("s", "shards")
+        shard = F.pmod(F.xxhash64("doc_id", "mark", F.lit(seed)), F.col("shards")).cast("int")
+        return x.join(shards, x["source"].eqNullSafe(shards["s"]), "left").withColumn("shard", shard).drop("s", "shards")
 
-    shards = staged(per_source, "shards")
-    small = shards.count() <= 100_000
+    # The sources, a row each, meet in one task; the shards of each source in a task of its own.
+    targets = sources.select("source", "words").coalesce(1).mapInArrow(_source_quotas(most_repeats, block), "source string, source_size long, target double, blocks long")
+    targets = _small(staged(targets.withColumnRenamed("source", "s"), "targets"))
     table = dealt(sized).groupBy("source", "shard").agg(F.sum("size").alias("words"))
-    quotas = staged(table.coalesce(1).mapInArrow(_quotas(most_repeats, block), "source string, shard int, source_size long, target double, quota long"), "quotas")
-    few = quotas.count() <= 100_000
+    table = table.join(targets, table["source"].eqNullSafe(targets["s"])).drop("s")
+    quotas = table.groupBy("source").applyInArrow(_shard_quotas(most_repeats, block), "source string, shard int, source_size long, target double, quota long")
+    quotas = staged(quotas.withColumnsRenamed({"source": "s", "shard": "k"}), "quotas")
 
     x = dealt(sized if not keep else d)
-    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", "mark", F.lit(seed + 1)), "doc_id", "mark", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("source", "shard")
     x = x.withColumn("end", F.sum("size").over(w)).withColumn("words", F.sum("size").over(whole))
-    q = quotas.select(F.col("source").alias("s"), F.col("shard").alias("k"), "source_size", "target", "quota")
-    x = x.join(F.broadcast(q) if few else q, x["source"].eqNullSafe(F.col("s")) & (x["shard"] == F.col("k")), "left")
+    x = x.join(_small(quotas), x["source"].eqNullSafe(F.col("s")) & (x["shard"] == F.col("k")), "left")
     full = F.when(F.col("words") > 0, F.floor(F.col("quota") / F.greatest(F.col("words"), F.lit(1)))).otherwise(F.lit(0))
     rest = F.col("quota") - full * F.col("words")
     start = F.col("end") - F.col("size")
