@@ -1,5 +1,6 @@
 """The registered training-data queries: against SQL where there is some, and the pipeline's stages in order."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -41,13 +42,29 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in pieces.where("piece = 0").collect()) == +want
 
 
+def prose(seed, n=160):
+    """Words of which none stands twice, with the common ones in their usual shares."""
+    rng = random.Random(seed)
+    made = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(3, 9)))
+    return " ".join(rng.choice(["the", "the", "of", "and", "to", "in"]) if rng.random() < 0.17 else made() for _ in range(n)) + "."
+
+
 def test_run_takes_odd_rows(spark, tmp_path):
-    words = " ".join(f"the of and to in {chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(200))
-    rows = [(1, None, None, None, None, 1), (2, "", "en", "a", 0, 1), (None, words, "en", None, 5, 1), (3, words, None, "a", 5, 1), (3, words, None, "a", 5, 1), (4, words + " more", "xx", "b", 5, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, size int")
+    words, other, third = prose(1), prose(2), prose(3)
+    rows = [(1, None, None, None, None, 1), (2, "", "en", "a", 0, 1), (None, words, "en", None, 5, 1), (None, words, "en", None, 5, 1), (3, words, None, "a", 5, 1), (3, words, None, "a", 5, 1), (3, other, None, "a", 5, 1), (4, words + " more", "xx", "b", 5, 1), (9, third, "en", "b", 5, 1)]
+    df = spark.createDataFrame([(*r, 7, 8, 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size int, node int, row int, kept int")
     df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = df, []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        assert docs.columns == df.columns and docs.where("size = 1 and node = 7 and row = 8 and kept = 9").count() == docs.count()
+        kept.append(sorted(((r.doc_id, r.text) for r in docs.collect()), key=str))
+    good = sorted(((r[0], r[1]) for r in rows if r[1]), key=str)
+    assert kept[0] == kept[1] == good  # no line is in three documents
+    # One of the copies of ``words`` stays (its least doc_id), rows without a doc_id stay as they are.
+    assert kept[2] == sorted([(None, words), (None, words), (3, words), (3, other), (9, third)], key=str)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in out} <= {None, 3, 4} and out
+    assert out and {r.doc_id for r in out} <= {None, 3, 9}
     df.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
