@@ -33,15 +33,15 @@ def select_rois(rois: DataFrame, spec: str | None = None) -> DataFrame:
     """Rows of ``rois`` that an index list names, with ``sel_ord``, the place in the list.
 
     None and "all" keep all, in order. An index that no region has raises ValueError, as does an
-    empty list. The check counts a table of one row a region.
+    empty list. The check is one job over a table of one row a region.
     """
     wanted = None if spec is None else parse_indices(spec)
     if wanted is None:
         return rois.withColumn("sel_ord", F.col("roi_ix"))
     if not wanted:
         raise ValueError("the region list is empty")
-    last = (rois.agg(F.max("roi_ix")).first()[0] or 0) if rois.take(1) else -1
-    parse_indices(spec, last)
+    last = rois.agg(F.max("roi_ix")).first()[0]
+    parse_indices(spec, -1 if last is None else last)
     places = F.create_map(*(F.lit(x) for pair in zip(wanted, range(len(wanted)), strict=True) for x in pair))
     return rois.where(F.col("roi_ix").isin(wanted)).withColumn("sel_ord", F.element_at(places, F.col("roi_ix")))
 
@@ -50,11 +50,6 @@ def first_roi(rois: DataFrame, order: str = "sel_ord") -> DataFrame:
     return rois.orderBy(order).limit(1)
 
 
-def channels_of(rois: DataFrame, key: str = "roi_id") -> DataFrame:
-    """Channels by position: (key, ch, label)."""
-    return rois.select(key, F.posexplode("channel_labels").alias("ch", "label"))
-
-
 def select_channels(df: DataFrame, channels: list[int], ch: str = "ch") -> DataFrame:
     """Rows of the wanted channels, which are numbered anew from 0 in ascending order."""
     wanted = sorted(set(channels))

@@ -21,6 +21,16 @@ def canvas(rois: DataFrame) -> DataFrame:
     return c.withColumns({"canvas_w": ceil_div(F.col("c_max_x") - F.col("c_min_x"), F.col("g")), "canvas_h": ceil_div(F.col("c_max_y") - F.col("c_min_y"), F.col("g"))})
 
 
+#: Above so many rows a table of regions stays a plan instead of becoming a local table.
+LOCAL_ROWS = 100_000
+
+
+def local(regions: DataFrame) -> DataFrame:
+    """A table of one row a region, computed once: every use of it is then a small local table."""
+    rows = regions.limit(LOCAL_ROWS + 1).collect()
+    return regions if len(rows) > LOCAL_ROWS else regions.sparkSession.createDataFrame(rows, regions.schema)
+
+
 def translate(rois: DataFrame, bounds: DataFrame) -> DataFrame:
     """Corners relative to the canvas's least corner. ``bounds`` is one row, so it is sent to all."""
     return rois.crossJoin(F.broadcast(bounds)).withColumn("translated", F.transform("corners", lambda p: F.struct((p["x"] - F.col("c_min_x")).alias("x"), (p["y"] - F.col("c_min_y")).alias("y"))))
@@ -42,7 +52,17 @@ def place(rois: DataFrame, bounds: DataFrame) -> DataFrame:
     t = t.withColumns({"x0": F.rint(F.col("mx") / F.col("g")).cast("long"), "y0": F.col("canvas_h") - F.rint(F.col("my") / F.col("g")).cast("long") - F.col("h_new")})
     t = t.withColumns({"top": F.greatest(F.lit(0), "y0"), "left": F.greatest(F.lit(0), "x0"), "bottom": F.least("canvas_h", F.col("y0") + F.col("h_new")), "right": F.least("canvas_w", F.col("x0") + F.col("w_new"))})
     t = t.withColumn("polygon", F.transform("translated", lambda p: F.struct(((p["x"] - F.col("mx")) / F.col("g")).alias("x"), ((p["y"] - F.col("my")) / F.col("g")).alias("y"))))
-    return t.withColumn("is_rect", is_grid_rectangle(F.col("polygon")))
+    return with_mask(t)
+
+
+def with_mask(regions: DataFrame) -> DataFrame:
+    """What the mask of each region needs, once a region: ``is_rect`` and the box of its polygon, which only other shapes keep."""
+    box = {f"box_{name}": c for name, c in bounds_of(F.col("polygon")).items()}
+    t = regions.withColumns(box | {"is_rect": is_grid_rectangle(F.col("polygon"))})
+    return t.withColumn("polygon", F.when(~F.col("is_rect"), F.col("polygon")))
+
+
+MASK = ["polygon", "is_rect", "box_min_x", "box_max_x", "box_min_y", "box_max_y"]
 
 
 def is_grid_rectangle(polygon: Column) -> Column:
@@ -68,10 +88,9 @@ def point_in_polygon(polygon: Column, x: Column, y: Column) -> Column:
 
 
 def in_polygon(x: Column, y: Column) -> Column:
-    """The mask of placed regions, with columns ``polygon`` and ``is_rect``; rectangles skip the fold."""
-    b = bounds_of(F.col("polygon"))
-    boxed = (x >= b["min_x"]) & (x < b["max_x"]) & (y >= b["min_y"]) & (y < b["max_y"])
-    return F.when(F.col("is_rect"), boxed).otherwise(boxed & point_in_polygon(F.col("polygon"), x, y))
+    """The mask of regions with the columns ``MASK``; rectangles are two comparisons an axis."""
+    boxed = (x >= F.col("box_min_x")) & (x < F.col("box_max_x")) & (y >= F.col("box_min_y")) & (y < F.col("box_max_y"))
+    return boxed & (F.col("is_rect") | point_in_polygon(F.col("polygon"), x, y))
 
 
 def panorama_bounds(panoramas: DataFrame) -> DataFrame:

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.functions.scalars import positive, to_output
-from pixelloom.operators.geometry import canvas, in_polygon, place
+from pixelloom.operators.geometry import MASK, canvas, in_polygon, local, place
 
 KEY = ["roi_id", "ch", "y", "x"]
 
 
 def in_bounds(records: DataFrame, rois: DataFrame) -> DataFrame:
-    """Records inside their region's cube; coordinates are truncated toward zero first."""
-    r = records.withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})
+    """Records inside their region's cube, with coordinates truncated toward zero.
+
+    The test is on the coordinates as they are, so that NaN, infinite and very large ones, which no integer
+    holds, are outside.
+    """
+    inside = lambda c: (F.col(c).cast("double") > -1) & (F.col(c).cast("double") < F.col(f"max_{c}"))
     # One row a region, far below any broadcast limit; the join prunes regions that are not selected.
     small = rois.select("roi_id", "max_x", "max_y")
-    return r.join(small, "roi_id").where("x >= 0 and x < max_x and y >= 0 and y < max_y").drop("max_x", "max_y")
+    kept = records.join(small, "roi_id").where(inside("x") & inside("y")).drop("max_x", "max_y")
+    return kept.withColumns({c: F.col(c).try_cast("int") for c in ("x", "y")})
 
 
 def unpivot(wide: DataFrame) -> DataFrame:
@@ -40,16 +45,20 @@ def region_images(records: DataFrame, rois: DataFrame, dtype: str = "uint16") ->
 def axis_weights(source: str, target: str):
     """Bilinear weights along one axis: structs (at, to, weight) for target size ``target`` from ``source``.
 
-    Half-pixel centres; neighbours beyond the edge are reflected onto it.
+    Half-pixel centres; a neighbour beyond the edge is mirrored at the centre of the edge pixel, so that
+    -1 is 1 and the size is the last but one.
     """
 
     def rows(size, size_new):
+        def mirror(k):
+            k = F.abs(k)
+            return F.greatest(F.lit(0).cast("long"), F.least(k, 2 * (size.cast("long") - 1) - k))
+
         def one(i):
             c = (i + 0.5) * size / size_new - 0.5
             low = F.floor(c).cast("long")
             f = c - low
-            clip = lambda k: F.greatest(F.lit(0).cast("long"), F.least(size.cast("long") - 1, k))
-            return F.array(F.struct(clip(low).alias("at"), i.alias("to"), (1 - f).alias("w")), F.struct(clip(low + 1).alias("at"), i.alias("to"), f.alias("w")))
+            return F.array(F.struct(mirror(low).alias("at"), i.alias("to"), (1 - f).alias("w")), F.struct(mirror(low + 1).alias("at"), i.alias("to"), f.alias("w")))
 
         return F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), size_new - 1), one))
 
@@ -60,22 +69,29 @@ def resample(cells: DataFrame, placed: DataFrame) -> DataFrame:
     """Cells on the global pitch. Regions of that pitch pass; others are interpolated bilinearly.
 
     Zeros add nothing to a weighted sum, so sparse cells meet small weight tables, one row a
-    (size, target size, position), and no plane is made dense.
+    (size, target size, position), and no plane is made dense. Where no region differs nothing is joined.
     """
-    info = placed.select("roi_id", "same_pitch", "max_x", "max_y", "h_new", "w_new")
-    c = cells.join(info, "roi_id")
+    kept = [F.col("v").cast("double").alias("v")]
     rest = placed.where(~F.col("same_pitch"))
-    wy = rest.select("max_y", "h_new").distinct().select("max_y", "h_new", F.inline(axis_weights("max_y", "h_new"))).where("w > 0").select("max_y", "h_new", F.col("at").alias("y"), F.col("to").alias("ty"), F.col("w").alias("wy"))
-    wx = rest.select("max_x", "w_new").distinct().select("max_x", "w_new", F.inline(axis_weights("max_x", "w_new"))).where("w > 0").select("max_x", "w_new", F.col("at").alias("x"), F.col("to").alias("tx"), F.col("w").alias("wx"))
-    scaled = c.where(~F.col("same_pitch")).join(wy, ["max_y", "h_new", "y"]).join(wx, ["max_x", "w_new", "x"])
-    scaled = scaled.groupBy("roi_id", "ch", "ty", "tx").agg(F.sum(F.col("v").cast("double") * F.col("wy") * F.col("wx")).alias("v"))
-    kept = c.where("same_pitch").select("roi_id", "ch", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("v").cast("double").alias("v"))
-    return kept.unionByName(scaled.select("roi_id", "ch", F.col("ty").alias("y"), F.col("tx").alias("x"), "v"))
+    if not rest.take(1):
+        return cells.select("roi_id", "ch", F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), *kept)
+
+    def weights(axis: str, size: str, target: str) -> DataFrame:
+        """Where each position goes, as an array."""
+        w = rest.select(size, target).distinct().select(size, target, F.inline(axis_weights(size, target))).where("w > 0")
+        return w.groupBy(size, target, F.col("at").alias(axis)).agg(F.collect_list(F.struct("to", "w")).alias(f"to_{axis}"))
+
+    c = cells.join(placed.select("roi_id", "same_pitch", "max_x", "max_y", "h_new", "w_new"), "roi_id")
+    c = c.withColumns({k: F.when(~F.col("same_pitch"), F.col(k)) for k in ("max_y", "max_x")})  # null: no weights to meet
+    c = c.join(F.broadcast(local(weights("y", "max_y", "h_new"))), ["max_y", "h_new", "y"], "left").join(F.broadcast(local(weights("x", "max_x", "w_new"))), ["max_x", "w_new", "x"], "left")
+    own = lambda axis: F.coalesce(f"to_{axis}", F.when(F.col("same_pitch"), F.array(F.struct(F.col(axis).cast("long").alias("to"), F.lit(1.0).alias("w")))))
+    c = c.select("roi_id", "ch", "v", F.explode(own("y")).alias("ty"), own("x").alias("tx")).select("roi_id", "ch", "v", "ty", F.explode("tx").alias("tx"))
+    return c.groupBy("roi_id", "ch", F.col("ty.to").alias("y"), F.col("tx.to").alias("x")).agg(F.sum(F.col("v").cast("double") * F.col("ty.w") * F.col("tx.w")).alias("v"))
 
 
 def composite(cells: DataFrame, placed: DataFrame) -> DataFrame:
     """Canvas pixels (ch, y, x, v): cells in their polygon with a positive value, the last region in order wins."""
-    info = placed.select("roi_id", "sel_ord", "polygon", "is_rect", "h_new", "w_new", "top", "left", "bottom", "right")
+    info = placed.select("roi_id", "sel_ord", *MASK, "top", "left", "bottom", "right")
     c = cells.join(info, "roi_id").where(positive(F.col("v")))
     inside = (F.col("y") < F.col("bottom") - F.col("top")) & (F.col("x") < F.col("right") - F.col("left"))
     c = c.where(inside & in_polygon(F.col("x").cast("double"), F.col("y").cast("double")))
@@ -90,8 +106,8 @@ def mosaic(records: DataFrame, rois: DataFrame, dtype: str = "uint16", digits: i
     follows the scatter. ``digits`` rounds resampled values before they are cast.
     """
     to_output(F.lit(0.0), dtype)
-    placed = place(rois, canvas(rois))
-    cells = resample(scatter(in_bounds(records, rois)), placed)
+    placed = local(place(rois, canvas(rois)))
+    cells = resample(scatter(in_bounds(records, placed)), placed)
     v = F.round("v", digits) if digits is not None else F.col("v")
     return composite(cells.withColumn("v", to_output(v, dtype)), placed)
 

@@ -179,8 +179,8 @@ SELECT t.roi_id::BIGINT AS roi_id, t.y::BIGINT AS y, t.x::BIGINT AS x FROM g2 t
 )
 def q_polygon_mask(spark, sf_dir):
     r = _rois_df(spark, sf_dir)
-    p = geometry.place(r, geometry.canvas(r)).select("roi_id", "polygon", "is_rect", "w_new", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_new") - 1)).alias("y"))
-    p = p.select("roi_id", "polygon", "is_rect", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w_new") - 1)).alias("x"))
+    p = geometry.local(geometry.place(r, geometry.canvas(r))).select("roi_id", *geometry.MASK, "w_new", F.explode(F.sequence(F.lit(0).cast("long"), F.col("h_new") - 1)).alias("y"))
+    p = p.select("roi_id", *geometry.MASK, "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w_new") - 1)).alias("x"))
     return longs(p.where(geometry.in_polygon(F.col("x").cast("double"), F.col("y").cast("double"))).select("roi_id", "y", "x"), "roi_id")
 
 
@@ -201,7 +201,8 @@ def q_mosaic_selected(spark, sf_dir):
 
 
 _AXIS = """{a}c AS (SELECT *, (i + 0.5::DOUBLE) * n / nn - 0.5::DOUBLE AS c FROM (SELECT DISTINCT {s} AS n, {t} AS nn, unnest(generate_series(0, {t} - 1)) AS i FROM placed2 JOIN rois USING (roi_id) WHERE px <> g)),
-{a} AS (SELECT n, i, greatest(0, least(n - 1, CAST(floor(c) AS BIGINT))) AS at, 1 - (c - floor(c)) AS wt FROM {a}c UNION ALL SELECT n, i, greatest(0, least(n - 1, CAST(floor(c) AS BIGINT) + 1)), c - floor(c) FROM {a}c)"""
+{a}n AS (SELECT n, i, CAST(floor(c) AS BIGINT) AS k, 1 - (c - floor(c)) AS wt FROM {a}c UNION ALL SELECT n, i, CAST(floor(c) AS BIGINT) + 1, c - floor(c) FROM {a}c),
+{a} AS (SELECT n, i, CASE WHEN n = 1 THEN 0 WHEN k < 0 THEN -k WHEN k >= n THEN 2 * (n - 1) - k ELSE k END AS at, wt FROM {a}n)"""
 
 
 @query(
@@ -214,20 +215,11 @@ def q_resample(spark, sf_dir):
     return longs(mosaic.mosaic(B.records(spark, sf_dir), _all(spark, sf_dir, True), digits=6), "ch", "y", "x", "v")
 
 
-@query(
-    f"""WITH {_rois()}, {_RECORDS}, full_grid AS (SELECT ch, y, unnest(generate_series(0, 39)) AS x FROM (SELECT ch, unnest(generate_series(0, 29)) AS y FROM (SELECT unnest(generate_series(0, 6)) AS ch)))
-SELECT g.ch::BIGINT AS ch, g.y::BIGINT AS y, g.x::BIGINT AS x, CASE WHEN v IS NULL THEN 0 ELSE {_U16.format(v="v")} END AS v FROM full_grid g LEFT JOIN (SELECT * FROM cells WHERE roi_id = 7) c ON c.ch = g.ch AND c.y = g.y AND c.x = g.x"""
-)
-def q_densify(spark, sf_dir):
-    image = mosaic.region_images(B.records(spark, sf_dir).where("roi_id = 7"), _rois_df(spark, sf_dir)).drop("roi_id")
-    return longs(mosaic.densify(image, 30, 40, B.N_CHANNELS).select("ch", "y", "x", "v"), "ch", "y", "x", "v")
-
-
 @query(
     f"""WITH {_rois()}, {_RECORDS}, full_grid AS (SELECT roi_id, ch, y, unnest(generate_series(0, 39)) AS x FROM (SELECT roi_id, ch, unnest(generate_series(0, 29)) AS y FROM (SELECT roi_id, unnest(generate_series(0, 6)) AS ch FROM rois)))
 SELECT g.roi_id::BIGINT AS roi_id, g.ch::BIGINT AS ch, g.y::BIGINT AS y, g.x::BIGINT AS x, CASE WHEN v IS NULL THEN 0 ELSE {_U16.format(v="v")} END AS v FROM full_grid g LEFT JOIN cells c ON c.roi_id = g.roi_id AND c.ch = g.ch AND c.y = g.y AND c.x = g.x"""
 )
-def q_densify_regions(spark, sf_dir):
+def q_densify(spark, sf_dir):
     rois = _rois_df(spark, sf_dir)
     dense = mosaic.densify(mosaic.region_images(B.records(spark, sf_dir), rois), 30, 40, B.N_CHANNELS, ["roi_id"], rois)
     return longs(dense.select("roi_id", "ch", "y", "x", "v"), "roi_id", "ch", "y", "x", "v")

@@ -88,7 +88,8 @@ def test_mask_is_not_flipped(spark):
 @pytest.mark.parametrize("polygon", [[(0, 0), (6, 0), (6, 2), (2, 2), (2, 6), (0, 6)], [(0, 0), (5, 1), (3, 6)], [(1, 1), (4, 1), (4, 3), (1, 3)]])
 def test_polygon(spark, polygon):
     pts = F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in polygon))
-    grid = spark.range(64).select((F.col("id") % 8).cast("double").alias("x"), F.expr("cast(id div 8 as double)").alias("y"), pts.alias("polygon")).withColumn("is_rect", geometry.is_grid_rectangle(F.col("polygon")))
+    grid = spark.range(64).select((F.col("id") % 8).cast("double").alias("x"), F.expr("cast(id div 8 as double)").alias("y"), pts.alias("polygon"))
+    grid = geometry.with_mask(grid)
     got = {(r.x, r.y) for r in grid.where(geometry.in_polygon(F.col("x"), F.col("y"))).collect()}
 
     def inside(x, y):
@@ -116,6 +117,23 @@ def test_resample_keeps_constants(spark):
     assert set(got) == {(y, x) for y in range(4) for x in range(6)} and all(abs(v - 5) < 1e-9 for v in got.values())
 
 
+def test_resample_mirrors_at_the_edges(spark):
+    # 1 x 3 to 1 x 6: target centres lie at -0.25, 0.25, 0.75, 1.25, 1.75 and 2.25; what is beyond 0 is 1, beyond 2 is 1.
+    made = rois(spark, roi(0, 0, 0, 3, 1, px=2.0, py=1.0), roi(1, 100, 0, 1, 1))
+    placed = geometry.place(catalog.select_rois(made), geometry.canvas(made))
+    cells = spark.createDataFrame([(0, 0, 0, x, v) for x, v in enumerate((8.0, 40.0, 100.0))] + [(1, 0, 0, 0, 3.0)], "roi_id int, ch int, y int, x int, v double")
+    got = mosaic.resample(cells, placed).collect()
+    assert {r.x: r.v for r in got if r.roi_id == 0} == {0: 0.75 * 8 + 0.25 * 40, 1: 0.75 * 8 + 0.25 * 40, 2: 0.25 * 8 + 0.75 * 40, 3: 0.75 * 40 + 0.25 * 100, 4: 0.25 * 40 + 0.75 * 100, 5: 0.75 * 100 + 0.25 * 40}
+    assert [(r.y, r.x, r.v) for r in got if r.roi_id == 1] == [(0, 0, 3.0)]
+
+
+def test_coordinates_that_no_integer_holds(spark):
+    made = rois(spark, roi(0, 0, 0, 3, 3))
+    rec = records(spark, [(0, math.nan, 1, 5), (0, math.inf, 1, 5), (0, -math.inf, 1, 5), (0, 1e300, 1, 5), (0, 1, -1e12, 5), (0, 1, math.nan, 5), (0, 2.9, 0, 6), (0, -0.5, 1, 7)])
+    assert values(mosaic.region_images(rec, made)) == {(0, 2): 6, (1, 0): 7}
+    assert values(mosaic.mosaic(rec, catalog.select_rois(made))) == {(0, 2): 6, (1, 0): 7}
+
+
 def test_pyramid_sizes(spark):
     cells = spark.createDataFrame([(0, y, x, y * 6 + x) for y in range(5) for x in range(6)], "ch int, y int, x int, v int")
     got = {}

@@ -23,5 +23,5 @@ def test_query(spark, con, name):
 
 
 def test_every_region_is_densified(spark):
-    n = queries.QUERIES["q_densify_regions"](spark, SF).groupBy("roi_id").count().collect()
+    n = queries.QUERIES["q_densify"](spark, SF).groupBy("roi_id").count().collect()
     assert {r.roi_id for r in n} == {r.n_nationkey for r in spark.read.parquet(f"{SF}/nation.parquet").collect()} and {r["count"] for r in n} == {7 * 30 * 40}
