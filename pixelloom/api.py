@@ -2,14 +2,15 @@
 
 A container is a raw file ``<stem>.mcd`` with a catalogue ``<stem>.json`` beside it: its slides,
 their acquisitions (with byte ranges of pixel segments) and panoramas. The vendor's own catalogue
-format is not parsed. Pixels are decoded, composited and cast by Spark; one task writes one image,
-plane by plane, from sparse cells sorted by channel.
+format is not parsed. Pixels are decoded, composited and cast by Spark; a task compresses one plane of an
+image, from sparse cells, and a short one puts the planes of an image together.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import os
 import time
 import traceback
 from collections.abc import Iterator
@@ -21,15 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelloom.functions import scalars
 from pixelloom.functions.indexspec import parse_channels, parse_indices
 from pixelloom.operators import catalog, geometry, mosaic, reports
 from pixelloom.sources import ome, png, tiff
 from pixelloom.sources.segments import read_segments_safely, resolve_inputs, resolve_tiffs
 
-ROI_SCHEMA = (
-    "file_id string, slide_ix int, catalog_ord int, roi_id int, acq_id string, description string, start_ts_raw string, corners array<struct<x:double,y:double>>, px_x double, px_y double, "
-    "width int, height int, max_x int, max_y int, channel_labels array<string>, num_channels int, data_start bigint, data_end bigint, value_bytes int, ablation_x double, ablation_y double"
-)
 PANO_SCHEMA = "file_id string, slide_ix int, pano_ix int, description string, corners array<struct<x:double,y:double>>, width_px int, height_px int"
 DTYPES = {"uint16": ("<u2", "uint16"), "float32": ("<f4", "float")}
 
@@ -50,35 +48,33 @@ class Container:
     def __init__(self, spark: SparkSession, path: str | Path):
         self.spark, self.path = spark, Path(path)
         self.raw = json.loads(self.path.with_suffix(".json").read_text(encoding="utf-8"))
-        rows, panos = [], []
+        slides, panos = [], []
         self.images: dict[tuple[int, int], np.ndarray | None] = {}
-        for s, slide in enumerate(self.raw["slides"]):
-            for a in slide.get("acquisitions", []):
-                rows.append(self._roi(s, len(rows), a))
-            for k, p in enumerate(slide.get("panoramas") or []):
+        for k, slide in enumerate(self.raw["slides"]):
+            slides.append((self.path.stem, k, [self._acquisition(a) for a in slide.get("acquisitions", [])]))
+            for j, p in enumerate(slide.get("panoramas") or []):
                 image = p.get("image_png")
-                self.images[s, k] = png.read_png(base64.b64decode(image)) if image else None
-                size = self.images[s, k].shape if image else (None, None)
+                self.images[k, j] = png.read_png(base64.b64decode(image)) if image else None
+                size = self.images[k, j].shape if image else (None, None)
                 m = p.get("metadata", {})
                 xy = [(m.get(f"SlideX{i}PosUm"), m.get(f"SlideY{i}PosUm")) for i in range(1, 5)]
                 corners = None if any(v is None for c in xy for v in c) else [(float(x), float(y)) for x, y in xy]
-                panos.append((self.path.stem, s, k, m.get("Description"), corners, size[1], size[0]))
-        table = spark.createDataFrame(rows, ROI_SCHEMA).withColumn("start_ts", F.try_to_timestamp(F.regexp_replace("start_ts_raw", r"(\.\d{6})\d+", "$1")))
-        self.rois = catalog.load_rois(table)
-        self.panoramas = catalog.flatten_panoramas(spark.createDataFrame(panos, PANO_SCHEMA))
-
-    def _roi(self, slide: int, order: int, a: dict) -> tuple:
-        m = a.get("metadata", {})
-        number = lambda key, default, kind: kind(m.get(key, default))
-        labels = list(a["channel_labels"])
-        return (
-            self.path.stem, slide, order, order, str(a["id"]), a.get("description"), m.get("StartTimeStamp"), [(float(x), float(y)) for x, y in a.get("roi_points_um") or []], float(a["pixel_size_x_um"]), float(a["pixel_size_y_um"]),
-            int(a["width_px"]), int(a["height_px"]), number("MaxX", a["width_px"], int), number("MaxY", a["height_px"], int), labels, int(a.get("num_channels", len(labels))), int(m["DataStartOffset"]), int(m["DataEndOffset"]),
-            number("ValueBytes", 4, int), number("AblationDistanceBetweenShotsX", 1.0, float), number("AblationDistanceBetweenShotsY", 1.0, float),
-        )
+                panos.append((self.path.stem, k, j, m.get("Description"), corners, size[1], size[0]))
+        flat = catalog.flat_record(spark.createDataFrame(slides, catalog.SLIDES)).withColumn("roi_id", F.col("catalog_ord"))
+        table = flat.withColumn("start_ts", F.try_to_timestamp(F.regexp_replace("start_ts_raw", r"(\.\d{6})\d+", "$1")))
+        self.rois = geometry.local(catalog.load_rois(table))
+        self.panoramas = geometry.local(catalog.flatten_panoramas(spark.createDataFrame(panos, PANO_SCHEMA)))
+
+    @staticmethod
+    def _acquisition(a: dict) -> tuple:
+        corners = [(float(x), float(y)) for x, y in a.get("roi_points_um") or []]
+        size = [float(a["pixel_size_x_um"]), float(a["pixel_size_y_um"]), int(a["width_px"]), int(a["height_px"])]
+        return (str(a["id"]), a.get("description"), corners, *size, list(a["channel_labels"]), a.get("num_channels"), {k: str(v) for k, v in a.get("metadata", {}).items() if v is not None})
 
     def records(self, rois: list, say=print) -> DataFrame:
         """Long records of the given region rows; only their byte ranges are read."""
+        if lost := [r.description for r in rois if r.data_start is None or r.data_end is None]:
+            raise ValueError(f"regions without a byte range: {lost}")
         segments = [dict(roi_id=r.roi_id, data_start=r.data_start, data_end=r.data_end, value_bytes=r.value_bytes, num_channels=r.num_channels, name=r.description) for r in rois]
         wide, warnings = read_segments_safely(self.spark, str(self.path), segments)
         for w in warnings:
@@ -86,65 +82,86 @@ class Container:
         return mosaic.unpivot(wide)
 
 
-def _planes(batches: Iterator[pa.RecordBatch], channels: int, shape: tuple[int, int], dtype: str) -> Iterator[np.ndarray]:
-    """Dense planes in channel order from cells (ch, y, x, v) sorted by channel; one plane at a time."""
-    plane, at = np.zeros(shape, dtype), 0
-    for b in batches:
-        ch, y, x, v = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        for c in np.unique(ch):
-            while at < c:
-                yield plane
-                plane, at = np.zeros(shape, dtype), at + 1
-            own = ch == c
-            plane[y[own].astype(np.int64), x[own].astype(np.int64)] = v[own]
-    while at < channels:
-        yield plane
-        plane, at = np.zeros(shape, dtype), at + 1
+def _groups(batches: Iterator[pa.RecordBatch], keys: int):
+    """(key, iterator of its batches) of rows sorted by their first ``keys`` columns; each iterator must be used up."""
+
+    def pieces():
+        for b in batches:
+            own = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)])
+            cuts = [0, *(np.flatnonzero(np.diff(own, axis=1).any(axis=0)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    yield tuple(own[:, lo].tolist()), b.slice(lo, hi - lo)
+
+    rest = pieces()
+    ahead = next(rest, None)
+    while ahead is not None:
+        key = ahead[0]
+
+        def same(key=key):
+            nonlocal ahead
+            while ahead is not None and ahead[0] == key:
+                yield ahead[1]
+                ahead = next(rest, None)
+
+        yield key, same()
+
+
+def _part(path: str, channel: int) -> str:
+    return f"{path}.plane-{channel}"
 
 
 def write_images(cells: DataFrame, images: list[dict], dtype: str, compression: str | None, levels: int = 1) -> int:
     """One file an image: ``cells`` (image, ch, y, x, v), ``images`` dicts of path, xml, channels, shape.
 
-    A task streams the cells of its image in channel order and holds one plane.
+    Tasks by image and channel each hold one plane and write its compressed blocks beside the image; a task
+    an image then copies them, in channel order, into the file. Both rename what they have finished, so a task
+    that is lost and runs again leaves the same files.
     """
-    spark, kind = cells.sparkSession, DTYPES[dtype][0]
-    jobs = {k: i for k, i in enumerate(images)}
+    spark, kind = cells.sparkSession, np.dtype(DTYPES[dtype][0])
     for i in images:
         Path(i["path"]).parent.mkdir(parents=True, exist_ok=True)
-    # A marker row for each image, so that one without a positive cell is written as well.
-    marks = spark.createDataFrame([(k, -1, 0, 0, 0.0) for k in jobs], "image int, ch int, y long, x long, v double")
+    # A marker row for each plane, so that one without a positive cell is written as well.
+    marks = spark.createDataFrame([(k, c, -1, 0, 0.0) for k, i in enumerate(images) for c in range(i["channels"])], "image int, ch int, y long, x long, v double")
     own = cells.select(F.col("image").cast("int"), F.col("ch").cast("int"), F.col("y").cast("long"), F.col("x").cast("long"), F.col("v").cast("double"))
-    dealt = marks.unionByName(own).repartition(max(1, min(len(images), 10_000)), "image").sortWithinPartitions("image", "ch")
-
-    def run(batches):
-        def pieces():
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-                for lo, hi in zip(cuts, cuts[1:], strict=False):
-                    if hi > lo:
-                        part = b.slice(lo, hi - lo)
-                        keep = pa.array(part.column(1).to_numpy(zero_copy_only=False) >= 0)
-                        yield int(ids[lo]), pa.RecordBatch.from_arrays([c.filter(keep) for c in part.columns[1:]], ["ch", "y", "x", "v"])
-
-        rest = pieces()
-        ahead = next(rest, None)
-        while ahead is not None:
-            k = ahead[0]
-
-            def same(k=k):
-                nonlocal ahead
-                while ahead is not None and ahead[0] == k:
-                    yield ahead[1]
-                    ahead = next(rest, None)
-
-            i = jobs[k]
-            tiff.write_tiff(i["path"], _planes(same(), i["channels"], i["shape"], kind), i["xml"], compression, levels)
-            for _ in same():
-                pass
+    planes = sum(i["channels"] for i in images)
+    dealt = marks.unionByName(own).repartition(max(1, min(planes, 10_000)), "image", "ch").sortWithinPartitions("image", "ch")
+
+    def compress(batches):
+        for (k, c), parts in _groups(batches, 2):
+            i = images[k]
+            plane = np.zeros(i["shape"], kind)
+            for b in parts:
+                y, x, v = (b.column(n).to_numpy(zero_copy_only=False) for n in (2, 3, 4))
+                real = y >= 0
+                plane[y[real], x[real]] = v[real]
+            if c >= i["channels"]:
+                continue
+            part = f"{_part(i['path'], c)}-{os.getpid()}"
+            with open(part, "wb") as f:
+                made = tiff.write_blocks(tiff.strided_levels(plane, levels), f, compression)
+            os.replace(part, _part(i["path"], c))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([c], pa.int32()), pa.array([json.dumps(made)])], ["image", "ch", "blocks"])
+
+    def join(batches):
+        for (k,), parts in _groups(batches, 1):
+            i = images[k]
+            made = sorted((c, text) for b in parts for c, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True))
+            part = f"{i['path']}.part-{os.getpid()}"
+            with open(part, "wb") as f:
+                writer = tiff.BigTiffWriter(f, compression)
+                for c, text in made:
+                    with open(_part(i["path"], c), "rb") as source:
+                        writer.append([(tuple(shape), counts) for shape, counts in json.loads(text)], kind, source, i["xml"] if c == 0 else None)
+            os.replace(part, i["path"])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32())], ["image"])
 
-    return dealt.mapInArrow(run, "image int").count()
+    blocks = dealt.mapInArrow(compress, "image int, ch int, blocks string")
+    written = blocks.repartition(max(1, min(len(images), 10_000)), "image").sortWithinPartitions("image").mapInArrow(join, "image int").count()
+    for i in images:  # only once all images are whole
+        for c in range(i["channels"]):
+            Path(_part(i["path"], c)).unlink(missing_ok=True)
+    return written
 
 
 def convert(input_path, output_path=None, dtype="uint16", compression="zstd", out_dir=None, silent=False, container: Container | None = None, rois: DataFrame | None = None) -> int:
@@ -206,27 +223,31 @@ def list_channels(path) -> list[str]:
         return ome.from_xml(tiff.read_pages(f)[0].description).channels
 
 
-def subset_file(path, out_dir, spec: str | None, compression: str | None, dtype: str, pyramid: bool = False) -> Path:
-    """Selected channels of one image, plane by plane, with three smaller levels if ``pyramid``."""
-    path = Path(path)
+def subset_file(path, out, spec: str | None, compression: str | None, dtype: str, pyramid: bool = False) -> Path:
+    """Selected channels of one image into the file ``out``, plane by plane, with three smaller levels if ``pyramid``.
+
+    A channel is a page, whether the pages are one series or a series each.
+    """
+    path, out = Path(path), Path(out)
     with open(path, "rb") as f:
         pages = tiff.read_pages(f)
         info = ome.from_xml(pages[0].description)
         wanted = [i for i in parse_channels(spec) if 0 <= i < len(info.channels)] if spec else list(range(len(info.channels)))
         if not wanted:
-            raise ValueError("No valid channels selected")
-        ops = [w for w, on in (("filtered", spec), ("pyramid", pyramid)) if on]
-        out = Path(out_dir) / ("_".join([path.stem.replace(".ome", ""), *ops]) + ".ome.tiff")
+            raise ValueError(catalog.NO_CHANNELS)
         if out.resolve() == path.resolve():
             raise ValueError(f"the output would replace its input {path}")
         out.parent.mkdir(parents=True, exist_ok=True)
         new = ome.ImageInfo([info.channels[i] for i in wanted], info.size_x, info.size_y, DTYPES[dtype][1], out.name, physical_x=info.physical_x, physical_y=info.physical_y)
+        tiff.write_tiff(str(out), (cast_plane(pages[i].asarray(), dtype) for i in wanted), ome.to_xml(new), compression, 4 if pyramid else 1)
+    return out
 
-        def cast(a):
-            return np.clip(np.nan_to_num(a.astype(np.float64), nan=0.0, posinf=65535, neginf=0), 0, 65535).astype("<u2") if dtype == "uint16" else a.astype("<f4")
 
-        tiff.write_tiff(str(out), (cast(pages[i].asarray()) for i in wanted), ome.to_xml(new), compression, 4 if pyramid else 1)
-    return out
+def cast_plane(a: np.ndarray, dtype: str) -> np.ndarray:
+    """``scalars.to_output`` for a whole plane."""
+    if dtype == "uint16":
+        return np.clip(np.nan_to_num(a.astype(np.float64), nan=0.0, posinf=65535, neginf=0), 0, 65535).astype("<u2")
+    return a.astype("<f4")
 
 
 def tiff_subset(input_path=None, output_path=None, output_type="uint16", compression="zstd", filter=None, pyramid=False, list_channels_only=False, out_dir=None, silent=False, tiff_files=None) -> int:
@@ -248,14 +269,14 @@ def tiff_subset(input_path=None, output_path=None, output_type="uint16", compres
     # A folder for each input folder, unless one is named.
     jobs = [(str(p), str(out_dir or (Path(output_path) if output_path else p.parent))) for p in files]
     spark = session()
-    rows = spark.createDataFrame(jobs, "path string, folder string").repartition(min(len(jobs), 10_000))
+    rows = spark.createDataFrame(jobs, "path string, folder string").withColumn("name", scalars.subset_name(F.col("path"), bool(filter), pyramid)).repartition(min(len(jobs), 10_000))
 
     def run(batches):
         for b in batches:
             status = []
-            for path, folder in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for path, folder, name in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 try:
-                    subset_file(path, folder, filter, compression, output_type, pyramid)
+                    subset_file(path, Path(folder) / name, filter, compression, output_type, pyramid)
                     status.append((None, None))
                 except Exception as e:  # one bad file must not end the others
                     status.append((f"{type(e).__name__}: {e}", traceback.format_exc()))
@@ -272,30 +293,41 @@ def tiff_subset(input_path=None, output_path=None, output_type="uint16", compres
     return len(done) - len(failed)
 
 
+def _resolved(c: Container, stem: str, folder: Path) -> DataFrame:
+    """Sizes by (slide_ix, pano_ix): from the header of a PNG that is there, else of the decoded image."""
+    rows = []
+    for (slide, pano), image in c.images.items():
+        there = folder / f"{stem}_slide_{slide}_pano_{pano}.png"
+        size = png.png_size(there.read_bytes()[:32]) if there.exists() else None
+        if size or image is not None:
+            rows.append((slide, pano, *(size or image.shape[1::-1])))
+    return c.spark.createDataFrame(rows, "slide_ix int, pano_ix int, width_px int, height_px int")
+
+
 def _panoramas(c: Container, stem: str, spec: str | None, folder: Path, overlays: bool = True) -> list:
     """Rows of the panoramas that a list names and that can be read, written as PNG."""
-    flat = geometry.panorama_bounds(catalog.select_panoramas(c.panoramas, spec))
-    rows = [p for p in flat.orderBy("flat_ix").collect() if p.width_px is not None]
-    regions = catalog.select_rois(c.rois).orderBy("sel_ord").collect()
+    decoded = c.panoramas.where("width_px is not null").select("slide_ix", "pano_ix", "width_px", "height_px")
+    flat = geometry.panorama_bounds(catalog.select_panoramas(c.panoramas, spec)).drop("width_px", "height_px")
+    rows = reports.panorama_plan(flat, decoded, stem).where("status = 'ok'").orderBy("flat_ix").collect()
+    regions = catalog.select_rois(c.rois).take(1)
     for p in rows:
         folder.mkdir(parents=True, exist_ok=True)
-        base = folder / f"{stem}_slide_{p.slide_ix}_pano_{p.pano_ix}"
         image = c.images[p.slide_ix, p.pano_ix]
-        base.with_suffix(".png").write_bytes(png.write_png(image))
-        if overlays and regions and min(p.width_px, p.height_px) >= reports.OVERLAY_MIN_PX:
+        (folder / p.path).write_bytes(png.write_png(image))
+        if overlays and regions and p.overlay:
             if p.box_status != "ok":
                 raise ValueError(f"panorama {p.flat_ix}: slide corners are {p.box_status}")
-            drawn = _overlay_rows(c, p)
+            drawn, base = _overlay_rows(c, p), folder / Path(p.path).stem
             Path(f"{base}_overlay.png").write_bytes(png.write_png(png.draw_overlay(image, drawn)))
             Path(f"{base}_overlay_labels.json").write_text(json.dumps([{k: d[k] for k in ("name", "centre", "colour", "font_size")} for d in drawn]), encoding="utf-8")
     return rows
 
 
 def _overlay_rows(c: Container, p) -> list[dict]:
-    sx, sy = p.width_px / (p.p_max_x - p.p_min_x), p.height_px / (p.p_max_y - p.p_min_y)
-    points = F.transform("corners", lambda q: F.struct(((q["x"] - p.p_min_x) * sx).alias("x"), ((p.p_max_y - q["y"]) * sy).alias("y")))
-    g = geometry.overlay_geometry(catalog.select_rois(c.rois).withColumn("points", points)).orderBy("roi_ix").collect()
-    return [{"points": [(q.x, q.y) for q in r.points], "colour": r.colour, "line_width": r.line_width, "font_size": r.font_size, "centre": (r.centre_x, r.centre_y), "name": r.description or f"ROI_{r.roi_ix}"} for r in g]
+    one = c.spark.createDataFrame([(p.width_px, p.height_px, p.p_min_x, p.p_max_x, p.p_min_y, p.p_max_y)], "width_px int, height_px int, p_min_x double, p_max_x double, p_min_y double, p_max_y double")
+    regions = geometry.in_panorama(catalog.select_rois(c.rois).drop("width", "height"), one)
+    g = geometry.overlay_geometry(regions).withColumn("name", scalars.overlay_name(F.col("description"), F.col("roi_ix"))).orderBy("roi_ix").collect()
+    return [{"points": [(q.x, q.y) for q in r.points], "colour": r.colour, "line_width": r.line_width, "font_size": r.font_size, "centre": (r.centre_x, r.centre_y), "name": r.name} for r in g]
 
 
 def process(input_path, output_path=None, convert_rois=False, stitch_rois=False, panorama=None, metadata=False, roi_map=None, filter=None, pyramid=False, roi=None, output_type="uint16", compression="zstd") -> None:
@@ -305,7 +337,17 @@ def process(input_path, output_path=None, convert_rois=False, stitch_rois=False,
     if (filter or pyramid) and not (convert_rois or stitch_rois):
         raise ValueError("filter and pyramid need convert or stitch")
     _check_options(output_type, compression)
-    for path in resolve_inputs(input_path):
+    files = resolve_inputs(input_path)
+    all_began = time.time()
+    print(f"Containers: {len(files)}")
+
+    def timed(what: str, run) -> None:
+        began = time.time()
+        print(f"  {what} ...", end=" ", flush=True)
+        run()
+        print(f"{time.time() - began:.1f} s")
+
+    for path in files:
         began = time.time()
         folder = Path(output_path) / path.stem if output_path else path.parent / "MCD_Processed" / path.stem
         try:
@@ -319,36 +361,39 @@ def process(input_path, output_path=None, convert_rois=False, stitch_rois=False,
             continue
         chosen = catalog.select_rois(c.rois, roi)
         rows = chosen.orderBy("sel_ord").collect()
+        print(f"  {path.name}: {len(rows)} of {c.rois.count()} regions")
         if metadata:
             labels = c.rois.where("roi_ix = 0").first().channel_labels
-            print(reports.metadata_text(path.stem, chosen.orderBy("sel_ord"), labels, c.panoramas))
+            print(reports.text_of(reports.summary_lines(path.stem, chosen, labels, c.panoramas)))
         if panorama is not None:
-            print(f"  {len(_panoramas(c, path.stem, panorama, folder))} panoramas written")
+            timed("panoramas", lambda: _panoramas(c, path.stem, panorama, folder))
         if roi_map is not None:
-            write_roi_maps(c, path.stem, chosen, rows, folder, roi_map, stitch_rois, convert_rois)
+            write_roi_maps(c, path.stem, chosen, folder, roi_map, stitch_rois, convert_rois)
         produced = []
         if convert_rois:
-            convert(path, dtype=output_type, compression=compression, out_dir=folder, container=c, rois=chosen)
+            timed(f"converting {len(rows)} regions", lambda: convert(path, dtype=output_type, compression=compression, out_dir=folder, silent=True, container=c, rois=chosen))
             produced += [folder / f"{r.description}.ome.tiff" for r in rows]
         if stitch_rois:
-            stitch(path, dtype=output_type, compression=compression, out_dir=folder, container=c, selected=chosen)
+            timed(f"stitching {len(rows)} regions", lambda: stitch(path, dtype=output_type, compression=compression, out_dir=folder, silent=True, container=c, selected=chosen))
             produced.append(folder / f"{path.stem}_stitched.ome.tiff")
         if filter or pyramid:
-            tiff_subset(output_type=output_type, compression=compression, filter=filter, pyramid=pyramid, out_dir=folder, tiff_files=produced)
+            timed(f"subsets of {len(produced)} images", lambda: tiff_subset(output_type=output_type, compression=compression, filter=filter, pyramid=pyramid, out_dir=folder, silent=True, tiff_files=produced))
         print(f"  {path.name}: {time.time() - began:.1f} s")
+    print(f"All containers: {time.time() - all_began:.1f} s")
 
 
-def write_roi_maps(c: Container, stem: str, chosen: DataFrame, rows: list, folder: Path, spec: str, stitched: bool, converted: bool) -> list[Path]:
+def write_roi_maps(c: Container, stem: str, chosen: DataFrame, folder: Path, spec: str, stitched: bool, converted: bool) -> list[Path]:
     """Map files of the panoramas that a list names ("all": the first)."""
     wanted = parse_indices(spec)
-    flat = geometry.panorama_bounds(c.panoramas).where(F.col("flat_ix").isin([0] if wanted is None else wanted))
-    canvas = reports.map_canvas(chosen) if stitched else None
+    flat = geometry.panorama_bounds(c.panoramas).where(F.col("flat_ix").isin([0] if wanted is None else wanted)).drop("width_px", "height_px")
+    plan = geometry.local(reports.panorama_plan(flat, _resolved(c, stem, folder), stem))
+    lines = reports.roi_map_lines(plan.where("status = 'ok' and box_status = 'ok'"), chosen, reports.map_canvas(chosen) if stitched else None, converted or not stitched)
     out = []
-    for p in flat.orderBy("flat_ix").collect():
-        if p.width_px is None or p.box_status != "ok":
+    for p in plan.orderBy("flat_ix").collect():
+        if p.status != "ok" or p.box_status != "ok":
             print(f"  WARNING: Could not read panorama {p.flat_ix}")
             continue
         folder.mkdir(parents=True, exist_ok=True)
-        out.append(folder / f"{stem}_slide_{p.slide_ix}_pano_{p.pano_ix}_roi_map.txt")
-        out[-1].write_text(reports.roi_map_text(p, rows, canvas, converted or not stitched), encoding="utf-8")
+        out.append(folder / p.path.replace(".png", "_roi_map.txt"))
+        out[-1].write_text(reports.text_of(lines.where(F.col("flat_ix") == p.flat_ix)), encoding="utf-8")
     return out

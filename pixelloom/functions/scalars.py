@@ -74,10 +74,3 @@ def subset_name(path: Column, filtered: bool, pyramid: bool) -> Column:
     """Output name of a channel subset: every ".ome" leaves the stem, operations are appended."""
     ops = "_".join([w for w, on in (("filtered", filtered), ("pyramid", pyramid)) if on])
     return F.concat(F.replace(stem(path), F.lit(".ome"), F.lit("")), F.lit(f"_{ops}.ome.tiff" if ops else ".ome.tiff"))
-
-
-def png_size(content: Column) -> tuple[Column, Column]:
-    """Width and height from a PNG's first chunk; null if the signature is wrong."""
-    ok = F.hex(F.substring(content, 1, 8)) == "89504E470D0A1A0A"
-    number = lambda at: F.when(ok, F.conv(F.hex(F.substring(content, at, 4)), 16, 10).cast("int"))
-    return number(17), number(21)

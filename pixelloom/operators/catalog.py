@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from pixelloom.functions.indexspec import parse_indices
 
+#: Fixed value: a message that callers match on.
+NO_CHANNELS = "No valid channels selected"
+
 
 def load_rois(acquisitions: DataFrame) -> DataFrame:
     """Acquisitions with a polygon, numbered newest first: ``roi_ix`` from 0 in each file.
@@ -17,15 +20,28 @@ def load_rois(acquisitions: DataFrame) -> DataFrame:
     return acquisitions.where(F.coalesce(F.size("corners"), F.lit(0)) > 0).withColumn("roi_ix", F.row_number().over(order) - 1)
 
 
+#: An acquisition as the catalogue has it; its metadata are text.
+ACQUISITION = (
+    "struct<acq_id:string, description:string, corners:array<struct<x:double,y:double>>, px_x:double, px_y:double, width:int, height:int, "
+    "channel_labels:array<string>, num_channels:int, metadata:map<string,string>>"
+)
+SLIDES = f"file_id string, slide_ix int, acquisitions array<{ACQUISITION}>"
+
+
 def flat_record(slides: DataFrame) -> DataFrame:
-    """Nested slides (file_id, slide_ix, acquisitions array of structs with a metadata map) to one row an acquisition."""
+    """Slides (``SLIDES``) to one row an acquisition, numbered through the file: ``catalog_ord``.
+
+    Metadata that are missing or no number take the acquisition's size, 4 bytes a value and a pitch of 1.
+    """
     a = slides.select("file_id", "slide_ix", F.posexplode("acquisitions").alias("pos", "a"))
+    a = a.withColumn("catalog_ord", F.row_number().over(Window.partitionBy("file_id").orderBy("slide_ix", "pos")) - 1)
     m = lambda key: F.try_element_at(F.col("a.metadata"), F.lit(key))
-    number = lambda key, kind, default: F.coalesce(F.expr(f"try_cast(try_element_at(a.metadata, '{key}') as {kind})"), F.lit(default).cast(kind))
+    number = lambda name, key, kind, default: F.coalesce(m(key).try_cast(kind), default.cast(kind)).alias(name)
     return a.select(
-        "file_id", "slide_ix", F.col("pos").alias("catalog_ord"), "a.acq_id", "a.description", m("StartTimeStamp").alias("start_ts_raw"),
-        number("ValueBytes", "int", 4).alias("value_bytes"), number("MaxX", "int", 0).alias("max_x"), number("MaxY", "int", 0).alias("max_y"),
-        number("AblationDistanceBetweenShotsX", "double", 1.0).alias("ablation_x"), number("AblationDistanceBetweenShotsY", "double", 1.0).alias("ablation_y"),
+        "file_id", "slide_ix", "catalog_ord", "a.acq_id", "a.description", m("StartTimeStamp").alias("start_ts_raw"), "a.corners", "a.px_x", "a.px_y", "a.width", "a.height",
+        number("max_x", "MaxX", "int", F.col("a.width")), number("max_y", "MaxY", "int", F.col("a.height")), "a.channel_labels", F.coalesce("a.num_channels", F.size("a.channel_labels")).alias("num_channels"),
+        m("DataStartOffset").try_cast("long").alias("data_start"), m("DataEndOffset").try_cast("long").alias("data_end"), number("value_bytes", "ValueBytes", "int", F.lit(4)),
+        number("ablation_x", "AblationDistanceBetweenShotsX", "double", F.lit(1.0)), number("ablation_y", "AblationDistanceBetweenShotsY", "double", F.lit(1.0)),
     )
 
 
@@ -54,7 +70,7 @@ def select_channels(df: DataFrame, channels: list[int], ch: str = "ch") -> DataF
     """Rows of the wanted channels, which are numbered anew from 0 in ascending order."""
     wanted = sorted(set(channels))
     if not wanted:
-        raise ValueError("No valid channels selected")
+        raise ValueError(NO_CHANNELS)
     places = F.create_map(*(F.lit(x) for pair in zip(wanted, range(len(wanted)), strict=True) for x in pair))
     return df.where(F.col(ch).isin(wanted)).withColumn("new_ch", F.element_at(places, F.col(ch)))
 

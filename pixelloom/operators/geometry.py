@@ -109,6 +109,21 @@ def slide_to_panorama(x: Column, y: Column) -> tuple[Column, Column]:
     return (x - F.col("p_min_x")) * sx, (F.col("p_max_y") - y) * sy
 
 
+def in_panorama(rois: DataFrame, panoramas: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Regions with their corners in panorama pixels (``points``), for each panorama; ``on`` names what they share.
+
+    ``panoramas`` are rows of ``panorama_bounds``, a handful a slide: sent to all tasks as a local table.
+    """
+    p = F.broadcast(local(panoramas))
+    met = rois.join(p, on) if on else rois.crossJoin(p)
+
+    def pixel(q):
+        x, y = slide_to_panorama(q["x"], q["y"])
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return met.withColumn("points", F.transform("corners", pixel))
+
+
 #: Colours of region outlines, in turn.
 PALETTE = [(255, 0, 0), (0, 255, 0), (0, 0, 255), (255, 255, 0), (255, 0, 255), (0, 255, 255), (255, 128, 0), (128, 0, 255)]
 

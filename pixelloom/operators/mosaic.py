@@ -143,3 +143,18 @@ def segment_check(segments: DataFrame, strict: bool = True) -> DataFrame:
     partial = size % stride != 0
     n = F.when(~legal, 0).when(partial & F.lit(strict), 0).otherwise(whole)
     return segments.withColumns({"n_records": n.cast("long"), "status": F.when(~legal, "unsupported").when(partial, "partial").otherwise("ok")})
+
+
+def isolate(segments: DataFrame) -> DataFrame:
+    """What reading each segment comes to, by itself: ok, recovered (whole records only) or skipped, with a message.
+
+    ``file_size``, if there, is where the file ends; a segment beyond it keeps the records before.
+    """
+    known = "file_size" in segments.columns
+    end = F.least("data_end", "file_size") if known else F.col("data_end")
+    cut = (F.col("data_end") > F.col("file_size")) if known else F.lit(False)
+    held = segments.withColumns({"whole_end": F.col("data_end"), "data_end": F.greatest(end, F.col("data_start")), "cut": cut})
+    d = segment_check(held, strict=False).withColumn("data_end", F.col("whole_end")).drop("whole_end")
+    status = F.when(F.col("status") == "unsupported", "skipped").when(F.col("cut") | (F.col("status") == "partial"), "recovered").otherwise("ok")
+    message = F.when(F.col("status") == "unsupported", F.format_string("values of %d bytes are not supported", "value_bytes")).when(F.col("cut"), "the file ends before the segment").when(F.col("status") == "partial", "the segment ends within a record")
+    return d.withColumns({"message": message, "status": status}).drop("cut")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.functions import indexspec, scalars
-from pixelloom.operators import catalog, geometry, mosaic
+from pixelloom.operators import catalog, geometry, mosaic, reports
 from pixelloom.plans import bindings as B
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -278,13 +278,7 @@ def q_pano_bounds_check(spark, sf_dir):
 def _mapped(spark, sf_dir, panoramas=None) -> DataFrame:
     """Panorama x region on its slide, with corners in panorama pixels (``points``)."""
     p = geometry.panorama_bounds(panoramas if panoramas is not None else B.panoramas(spark, sf_dir)).where("box_status = 'ok'").select("slide_ix", "pano_ix", "width_px", "height_px", "p_min_x", "p_max_x", "p_min_y", "p_max_y")
-    r = _rois_df(spark, sf_dir).join(F.broadcast(p), "slide_ix")  # panoramas: a handful a slide
-
-    def pixel(q):
-        x, y = geometry.slide_to_panorama(q["x"], q["y"])
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return r.withColumn("points", F.transform("corners", pixel))
+    return geometry.in_panorama(_rois_df(spark, sf_dir), p, ["slide_ix"])
 
 
 _PX = "(c.x - x1) * (side / (x2 - x1))"
@@ -345,14 +339,46 @@ def q_output_names(spark, sf_dir):
     return d.withColumn("kind", F.lit("converted")).unionByName(d.where("page_id % 10 = 0").withColumn("kind", F.lit("stitched")))
 
 
-@query(f"WITH {_rois()} SELECT roi_id::BIGINT AS roi_id, 1 + (roi_id % 3)::BIGINT * 2 + CASE WHEN roi_id % 3 = 0 THEN 3 ELSE 1 END AS value_bytes, 40::BIGINT AS max_x, CASE WHEN roi_id % 2 = 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS ablation_x, 7::BIGINT AS first_channels FROM rois")
+@query(
+    f"""WITH {_rois()} SELECT roi_id::BIGINT AS roi_id, slide_ix::BIGINT AS slide_ix, row_number() OVER (ORDER BY slide_ix, roi_id) - 1 AS catalog_ord, 1 + (roi_id % 3)::BIGINT * 2 + CASE WHEN roi_id % 3 = 0 THEN 3 ELSE 1 END AS value_bytes,
+  CASE WHEN roi_id % 5 = 0 THEN 40 ELSE 39 END::BIGINT AS max_x, 30::BIGINT AS max_y, CASE WHEN roi_id % 2 = 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS ablation_x, 1::DOUBLE AS ablation_y, (roi_id * 100)::BIGINT AS data_start, CASE WHEN roi_id % 7 = 0 THEN NULL ELSE roi_id * 100 + 50 END::BIGINT AS data_end,
+  7::BIGINT AS num_channels, 7::BIGINT AS first_channels FROM rois"""
+)
 def q_roi_flat_record(spark, sf_dir):
     r = F.col("roi_id")
-    entries = F.map_filter(F.create_map(F.lit("ValueBytes"), F.when(r % 3 == 0, None).otherwise((2 + r % 3 * 2).cast("string")), F.lit("MaxX"), F.lit("40"), F.lit("AblationDistanceBetweenShotsX"), F.when(r % 2 == 0, "n/a").otherwise("0.5")), lambda _, v: v.isNotNull())
-    nested = B.acquisitions(spark, sf_dir).select("file_id", "slide_ix", "roi_id", F.array(F.struct("acq_id", "description", entries.alias("metadata"))).alias("acquisitions"))
+    text = lambda c: c.cast("string")
+    entries = {"ValueBytes": F.when(r % 3 != 0, text(2 + r % 3 * 2)), "MaxX": F.when(r % 5 != 0, "39"), "AblationDistanceBetweenShotsX": F.when(r % 2 == 0, "n/a").otherwise("0.5"), "DataStartOffset": text(r * 100), "DataEndOffset": F.when(r % 7 != 0, text(r * 100 + 50))}
+    metadata = F.map_filter(F.create_map(*(x for k, v in entries.items() for x in (F.lit(k), v))), lambda _, v: v.isNotNull())
+    fields = ["acq_id", "description", "corners", "px_x", "px_y", "width", "height", "channel_labels", F.when(r % 2 == 0, F.col("num_channels")).alias("num_channels"), metadata.alias("metadata")]
+    one = B.acquisitions(spark, sf_dir).groupBy("file_id", "slide_ix").agg(F.array_sort(F.collect_list(F.struct("roi_id", F.struct(*fields).alias("a"))), lambda x, y: x["roi_id"] - y["roi_id"]).alias("all"))
+    nested = one.select("file_id", "slide_ix", F.transform("all", lambda x: x["a"]).cast(f"array<{catalog.ACQUISITION}>").alias("acquisitions"))
     flat = catalog.flat_record(nested).withColumn("roi_id", F.col("acq_id").cast("long"))
     first = catalog.first_roi(_all(spark, sf_dir)).select(F.col("num_channels").cast("long").alias("first_channels"))
-    return longs(flat.crossJoin(F.broadcast(first)).select("roi_id", "value_bytes", "max_x", "ablation_x", "first_channels"), "value_bytes", "max_x")
+    out = flat.crossJoin(F.broadcast(first)).select("roi_id", "slide_ix", "catalog_ord", "value_bytes", "max_x", "max_y", "ablation_x", "ablation_y", "data_start", "data_end", "num_channels", "first_channels")
+    return longs(out, "slide_ix", "catalog_ord", "value_bytes", "max_x", "max_y", "num_channels")
+
+
+@query(
+    """WITH acq AS (SELECT n_nationkey AS roi_id, n_regionkey % 2 AS file, n_nationkey AS catalog_ord, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_nationkey % 3 END AS start_ts, n_nationkey % 6 IN (2, 5) AS bare FROM nation)
+SELECT 'f' || file AS file_id, roi_id::BIGINT AS roi_id, row_number() OVER (PARTITION BY file ORDER BY start_ts DESC NULLS LAST, catalog_ord) - 1 AS roi_ix FROM acq WHERE NOT bare"""
+)
+def q_catalog_ties(spark, sf_dir):
+    """Ties and missing timestamps, regions with no or an empty polygon, two files."""
+    n = F.col("roi_id")
+    d = B.acquisitions(spark, sf_dir).withColumns({"file_id": F.concat(F.lit("f"), (F.col("slide_ix") % 2).cast("string")), "start_ts": F.when(n % 4 != 0, n % 3)})
+    nothing = F.when(n % 6 == 2, F.array().cast(d.schema["corners"].dataType)).when(n % 6 != 5, F.col("corners"))
+    return longs(catalog.load_rois(d.withColumn("corners", nothing)).select("file_id", "roi_id", "roi_ix"), "roi_id", "roi_ix")
+
+
+@query(f"""WITH {_rois()}, {_RECORDS} SELECT r.roi_id::BIGINT AS roi_id, r.ch::BIGINT AS ch, r.y::BIGINT AS y, r.x::BIGINT AS x, rec_ord::BIGINT AS rec_ord FROM records r JOIN rois USING (roi_id) WHERE x < w AND y < h AND rec_ord % 7 > 3""")
+def q_bounds_odd(spark, sf_dir):
+    """Coordinates that are NaN, infinite or beyond any integer are outside; fractions are truncated toward zero."""
+    k = F.col("rec_ord") % 7
+    number = lambda s: F.lit(s).cast("double")
+    x = F.when(k == 0, number("NaN")).when(k == 1, number("Infinity")).when(k == 2, -1e300).otherwise(F.col("x") + F.when(k == 4, 0.9).otherwise(0.0))
+    y = F.when(k == 3, -1e12).otherwise(F.when((k == 5) & (F.col("y") == 0), -0.9).otherwise(F.col("y").cast("double")))
+    records = B.records(spark, sf_dir).withColumns({"x": x, "y": y})
+    return longs(mosaic.in_bounds(records, _rois_df(spark, sf_dir)).select("roi_id", "ch", "y", "x", "rec_ord"), "roi_id", "ch", "y", "x")
 
 
 @query("WITH made AS (SELECT n_nationkey AS k, 'conv/' || n_name || CASE WHEN n_nationkey % 4 = 0 THEN '.TIFF' WHEN n_nationkey % 4 = 1 THEN '.tif' ELSE '.tiff' END AS path FROM nation) SELECT k::BIGINT AS k, path FROM made WHERE k % 3 <> 0 AND lower(path) LIKE '%.tiff'")
@@ -364,11 +390,9 @@ def q_produced_exists(spark, sf_dir):
 
 @query(f"WITH {_PANOS} SELECT k::BIGINT AS flat_ix, 'mcd_slide_' || k || '_pano_0.png' AS path, side::BIGINT AS w, side >= 4000 AND k <> 4 AS overlay, CASE WHEN k = 4 THEN 'unresolved' ELSE 'ok' END AS status FROM panos WHERE k <> 1")
 def q_pano_export_plan(spark, sf_dir):
-    from pixelloom.operators.reports import panorama_plan
-
     flat = catalog.select_panoramas(catalog.flatten_panoramas(B.panoramas(spark, sf_dir)), "0,2-4,7")
     resolved = flat.where("slide_ix != 4").select("slide_ix", "pano_ix", "width_px", "height_px")
-    return longs(panorama_plan(flat.drop("width_px", "height_px"), resolved, "mcd").select("flat_ix", "path", F.coalesce("width_px", 3000 + 500 * F.col("slide_ix")).alias("w"), "overlay", "status"), "flat_ix", "w")
+    return longs(reports.panorama_plan(flat.drop("width_px", "height_px"), resolved, "mcd").select("flat_ix", "path", F.coalesce("width_px", 3000 + 500 * F.col("slide_ix")).alias("w"), "overlay", "status"), "flat_ix", "w")
 
 
 @query("SELECT (SELECT count(*) FROM nation) AS rois, (SELECT count(DISTINCT n_regionkey) FROM nation) AS slides, (SELECT count(*) FROM region) AS panoramas, (SELECT count(DISTINCT l_linenumber) FROM lineitem) AS channels")
@@ -379,11 +403,89 @@ def q_counts(spark, sf_dir):
     return r.crossJoin(p).crossJoin(c)
 
 
-@query(f"WITH {_rois()} SELECT roi_id::BIGINT AS roi_id, '<Image ID=\"Image:' || roi_id || '\" Name=\"' || description || '\"><Pixels ID=\"Pixels:' || roi_id || '\" SizeX=\"40\" SizeY=\"30\" SizeC=\"7\"/></Image>' AS xml FROM rois")
+_XML = "replace(replace(replace(replace({v}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+@query(
+    f"""WITH {_rois()}, c AS (SELECT unnest(range(7)) AS k), named AS (SELECT roi_id, description || ' <' || roi_id || '> & "x"' AS name FROM rois)
+SELECT roi_id::BIGINT AS roi_id, '<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<OME xmlns="http://www.openmicroscopy.org/Schemas/OME/2016-06" Creator="pixelloom 0.1.0">' || chr(10) || '  <Instrument ID="Instrument:StandardBioToolsInstrument" />' || chr(10)
+ || '  <Image ID="Image:' || roi_id || '" Name="' || {_XML.format(v="name")} || '">' || chr(10) || '    <Pixels ID="Pixels:' || roi_id || '" DimensionOrder="XYZCT" Type="uint16" SizeX="40" SizeY="30" SizeZ="1" SizeC="7" SizeT="1" PhysicalSizeX="' || CASE WHEN roi_id % 2 = 0 THEN '1.0' ELSE '0.25' END || '" PhysicalSizeY="2.0">' || chr(10)
+ || (SELECT string_agg('      <Channel ID="Channel:' || roi_id || ':' || k || '" Name="CH' || k || '" SamplesPerPixel="1" />' || chr(10), '' ORDER BY k) FROM c) || (SELECT string_agg('      <TiffData FirstC="' || k || '" FirstZ="0" FirstT="0" IFD="' || k || '" PlaneCount="1" />' || chr(10), '' ORDER BY k) FROM c)
+ || '    </Pixels>' || chr(10) || '  </Image>' || chr(10) || '</OME>' AS xml FROM named"""
+)
 def q_ome_xml(spark, sf_dir):
-    from pixelloom.sources.ome import summary_column
+    """The whole document, as the writers put it into a file."""
+    from pixelloom.sources import ome
+
+    name = F.concat("description", F.lit(" <"), F.col("roi_id").cast("string"), F.lit('> & "x"'))
+    d = _rois_df(spark, sf_dir).select("roi_id", name.alias("name"), "channel_labels", "width", "height", F.when(F.col("roi_id") % 2 == 0, 1.0).otherwise(0.25).alias("pitch"))
+    return longs(ome.documents(d.select("roi_id", F.struct("name", "channel_labels", "width", "height", "pitch", F.lit(2.0).alias("pitch_y"), F.col("roi_id").cast("string").alias("id")).alias("image"))), "roi_id")
+
+
+_LINES = "SELECT {flat} AS flat_ix, {section}::BIGINT AS section, {block}::BIGINT AS block, {line}::BIGINT AS line, {text} AS text"
+_CORNER = "list_extract(['top_left', 'top_right', 'bottom_right', 'bottom_left'], {i})"
+
 
-    return longs(_rois_df(spark, sf_dir).select("roi_id", summary_column().alias("xml")), "roi_id")
+def _fixed(*lines: str) -> str:
+    """Numbered lines as rows (line, text)."""
+    return "(VALUES " + ", ".join(f"({k}, {x})" for k, x in enumerate(lines)) + ") AS t(line, text)"
+
+
+@query(
+    f"""WITH {_rois(True)}, {_selection(SELECTED)}, {_PANOS}, p AS (SELECT * FROM panos WHERE k IN (0, 3)),
+c AS (SELECT min(x) AS ax, max(x) AS bx, min(y) AS ay, max(y) AS b_y, (SELECT min(px) FROM sel) AS g FROM corners WHERE roi_id IN (SELECT roi_id FROM sel)),
+ends AS (SELECT p.*, i, CASE WHEN i IN (1, 4) THEN ax ELSE bx END AS cx, CASE WHEN i < 3 THEN b_y ELSE ay END AS cy FROM p, c, (SELECT unnest(range(1, 5)) AS i)),
+spots AS (SELECT s.sel_ord, pos, p.k, (c.x - x1) * (side / (x2 - x1)) AS px, (y2 - c.y) * (side / (y2 - y1)) AS py FROM sel s JOIN corners c USING (roi_id), p WHERE pos < 4),
+tops AS (SELECT k, unnest(['Stitched-ROIs to Panorama Mapping', repeat('=', 40), '', 'stitched_canvas_pixels: ' || CAST(ceil((bx - ax) / g) AS BIGINT) || ' x ' || CAST(ceil((b_y - ay) / g) AS BIGINT),
+  format('stitched_canvas_slide_um: x_min={{:.3f}} x_max={{:.3f}} y_min={{:.3f}} y_max={{:.3f}}', ax, bx, ay, b_y), 'panorama_pixels: ' || side || ' x ' || side, format('panorama_slide_um: x_min={{:.1f}} x_max={{:.1f}} y_min={{:.1f}} y_max={{:.1f}}', x1, x2, y1, y2), '', 'corner_mapping (stitched corner -> panorama pixel):']) AS text, unnest(range(9)) AS line FROM p, c),
+heads AS (SELECT k, unnest(['Individual-ROIs to Panorama Mapping', repeat('=', 40), '']) AS text, unnest(range(3)) AS line FROM p),
+abouts AS (SELECT k, sel_ord, unnest(['--- ' || trim(s.description) || ' ---', '  Dimensions: ' || w || 'x' || h || ' px', format('  Pixel size: {{:.4f}} x {{:.4f}} um', s.px, s.px), '  Corners (panorama px):']) AS text, unnest(range(4)) AS line FROM sel s, p),
+many AS (SELECT sel_ord, least(4, count(*)) AS n FROM sel JOIN corners USING (roi_id) GROUP BY 1)
+SELECT k::BIGINT AS flat_ix, 0::BIGINT AS section, 0::BIGINT AS block, line::BIGINT AS line, text FROM tops
+UNION ALL SELECT k, 0, 0, 8 + i, format('  {{}}: {{:.3f}}, {{:.3f}}', {_CORNER.format(i="i")}, (cx - x1) * (side / (x2 - x1)), (y2 - cy) * (side / (y2 - y1))) FROM ends
+UNION ALL SELECT k, 0, 0, 13, '' FROM p
+UNION ALL SELECT k, 1, 0, line, text FROM heads
+UNION ALL SELECT k, 2, -sel_ord, line, text FROM abouts
+UNION ALL SELECT k, 2, -sel_ord, 4 + pos, format('    {{}}: {{:.1f}}, {{:.1f}}', {_CORNER.format(i="(pos + 1)::INT")}, px, py) FROM spots
+UNION ALL SELECT k, 2, -sel_ord, 4 + n, '' FROM many, p"""
+)
+def q_roi_map(spark, sf_dir):
+    """The map files of two panoramas, with the stitched canvas and every region, line by line."""
+    rois = catalog.select_rois(_rois_df(spark, sf_dir, True), SELECTION)
+    panoramas = geometry.panorama_bounds(catalog.flatten_panoramas(B.panoramas(spark, sf_dir)).where("flat_ix in (0, 3)"))
+    return longs(reports.roi_map_lines(panoramas, rois, reports.map_canvas(rois)).select("flat_ix", "section", "block", "line", "text"), "flat_ix", "section", "block", "line")
+
+
+@query(
+    f"""WITH {_rois()}, {_selection(SELECTED)}, {_PANOS}, shown AS (SELECT *, CASE WHEN roi_id % 3 = 0 THEN NULL ELSE ' ' || description || repeat(' long', roi_id) || ' ' END AS d, CASE WHEN roi_id % 4 = 0 THEN NULL WHEN roi_id % 4 = 1 THEN 'soon' ELSE '2024-03-0' || (roi_id % 9 + 1) || 'T10:00:00.1234567+02:00' END AS raw FROM sel)
+SELECT 0::BIGINT AS section, 0::BIGINT AS block, line::BIGINT AS line, text FROM {_fixed("''", "'  MCD FILE: slide'")}
+UNION ALL SELECT 1, -1, line, text FROM {_fixed("''", "'  PANORAMAS:'")}
+UNION ALL SELECT 1, k, 0, '    ' || k || ': slide ' || k || ', pano 0: ' || CASE WHEN k = 2 THEN 'N/A' ELSE description END FROM panos
+UNION ALL SELECT 2, 0, 0, ''
+UNION ALL SELECT 3, -1, line, text FROM {_fixed("'  ROI TABLE:'", "'    Idx  | ' || rpad('Description', 35, ' ') || ' | ' || rpad('Timestamp', 19, ' ') || ' | Size (WxH)  '", "'    ' || repeat('-', 4) || '-+-' || repeat('-', 35) || '-+-' || repeat('-', 19) || '-+-' || repeat('-', 12)")}
+UNION ALL SELECT 3, sel_ord, 0, '    ' || rpad(sel_ord::VARCHAR, 4, ' ') || ' | ' || rpad(CASE WHEN length(trim(coalesce(d, ''))) > 35 THEN substr(trim(d), 1, 32) || '...' ELSE trim(coalesce(d, '')) END, 35, ' ') || ' | ' || rpad(CASE WHEN raw IS NULL THEN '' WHEN raw = 'soon' THEN raw ELSE substr(raw, 1, 10) || ' 10:00:00' END, 19, ' ') || ' |   40x30  ' FROM shown
+UNION ALL SELECT 4, 0, line, text FROM {_fixed("' '", "' CHANNELS (2): CH0, CH1 '", "''")}"""
+)
+def q_summary(spark, sf_dir):
+    """The metadata summary, line by line."""
+    r = F.col("roi_id")
+    d = F.when(r % 3 != 0, F.concat(F.lit(" "), "description", F.repeat(F.lit(" long"), r), F.lit(" ")))
+    raw = F.when(r % 4 == 1, "soon").when(r % 4 != 0, F.concat(F.lit("2024-03-0"), (r % 9 + 1).cast("string"), F.lit("T10:00:00.1234567+02:00")))
+    rois = catalog.select_rois(_rois_df(spark, sf_dir), SELECTION).withColumns({"description": d, "start_ts_raw": raw})
+    panoramas = catalog.flatten_panoramas(B.panoramas(spark, sf_dir)).withColumn("description", F.when(F.col("slide_ix") != 2, F.col("description")))
+    return longs(reports.summary_lines("slide", rois, ["CH0", "CH1"], panoramas).select("section", "block", "line", "text"), "section", "block", "line")
+
+
+@query(
+    """WITH two AS (SELECT r_regionkey AS slide_ix, p AS pano_ix, r_name || '/' || p AS description FROM region, (VALUES (0), (1)) AS t(p) WHERE r_regionkey <> 3 OR p = 0),
+flat AS (SELECT *, row_number() OVER (ORDER BY slide_ix, pano_ix) - 1 AS flat_ix FROM two)
+SELECT flat_ix, slide_ix::BIGINT AS slide_ix, pano_ix::BIGINT AS pano_ix, description FROM flat WHERE flat_ix IN (1, 2, 3, 7)"""
+)
+def q_pano_several(spark, sf_dir):
+    """Two panoramas a slide, one of them missing."""
+    d = B.panoramas(spark, sf_dir).drop("pano_ix").withColumn("pano_ix", F.explode(F.array(F.lit(1), F.lit(0)))).where("slide_ix != 3 or pano_ix = 0")
+    d = d.withColumn("description", F.concat("description", F.lit("/"), F.col("pano_ix").cast("string")))
+    return longs(catalog.select_panoramas(catalog.flatten_panoramas(d), "3,1-2,7,30").select("flat_ix", "slide_ix", "pano_ix", "description"), "flat_ix", "slide_ix", "pano_ix")
 
 
 def _shared_folder(spark) -> str:
@@ -405,6 +507,8 @@ def _segment_file(spark, sf_dir: str) -> tuple[str, list[dict]]:
     folder = _shared_folder(spark)
     os.makedirs(folder, exist_ok=True)
     path, at, segments = f"{folder}/segments-{uuid.uuid4().hex}.mcd", 0, []
+    gone = spark._jvm.org.apache.hadoop.fs.Path(f"file://{path}")
+    gone.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(gone)
     with open(path, "wb") as f:
         for roi, (width, kind) in enumerate(((4, "<f4"), (8, "<f8"), (2, "<f2"))):
             i = np.arange(20 * n)
@@ -415,7 +519,10 @@ def _segment_file(spark, sf_dir: str) -> tuple[str, list[dict]]:
     return path, segments
 
 
-@query()
+@query(
+    """WITH i AS (SELECT unnest(range(20 * (SELECT count(*) FROM region))) AS i), k AS (SELECT unnest(range(3)) AS roi_id), c AS (SELECT unnest(range(2)) AS ch)
+SELECT roi_id, ch, i // 7 AS y, i % 7 AS x, ((ch + 1) * i)::DOUBLE AS v FROM i, k, c"""
+)
 def q_segment_scan(spark, sf_dir):
     from pixelloom.sources.segments import read_segments_safely
 
@@ -424,17 +531,17 @@ def q_segment_scan(spark, sf_dir):
     return longs(mosaic.scatter(mosaic.unpivot(records).withColumns({"x": F.col("x").cast("int"), "y": F.col("y").cast("int")})), "roi_id", "ch", "y", "x")
 
 
-@query()
+@query(
+    """WITH seg AS (SELECT s_suppkey AS seg_id, (s_suppkey % 8 + 1)::BIGINT AS c, CASE s_suppkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 4 WHEN 2 THEN 8 ELSE 3 END::BIGINT AS vb, (s_suppkey * 13)::BIGINT AS a, (s_suppkey * 13 + (s_suppkey % 50) * (s_suppkey % 8 + 4) * 8 + s_suppkey % 3)::BIGINT AS b, (s_suppkey * 13 + CASE WHEN s_suppkey % 5 = 0 THEN 100 ELSE 10000 END)::BIGINT AS f FROM supplier),
+n AS (SELECT *, (c + 3) * vb AS stride, greatest(a, least(b, f)) AS e, vb NOT IN (2, 4, 8) AS odd, b > f AS cut FROM seg)
+SELECT seg_id, CASE WHEN odd THEN 'skipped' WHEN cut OR (e - a) % stride <> 0 THEN 'recovered' ELSE 'ok' END AS status, CASE WHEN odd THEN 0 ELSE (e - a) // stride END::BIGINT AS n_records,
+ CASE WHEN odd THEN 'values of ' || vb || ' bytes are not supported' WHEN cut THEN 'the file ends before the segment' WHEN (e - a) % stride <> 0 THEN 'the segment ends within a record' END AS message FROM n"""
+)
 def q_error_isolation(spark, sf_dir):
-    """Status and message of each of several segments; a bad one does not end the others."""
-    from pixelloom.sources.segments import SegmentError, count_records
-
-    _, segments = _segment_file(spark, sf_dir)
-    rows = []
-    for s in [*segments, segments[0] | {"roi_id": 9, "value_bytes": 3}]:
-        try:
-            rows.append((s["roi_id"], "ok", count_records(s, True), None))
-        except SegmentError as e:
-            whole = count_records(s, False) if "Unsupported" not in str(e) else 0
-            rows.append((s["roi_id"], "recovered" if whole else "skipped", whole, str(e)))
-    return spark.createDataFrame(rows, "roi_id long, status string, n_records long, message string")
+    """Status and message of each of many segments; a bad one does not end the others."""
+    s = F.col("s_suppkey")
+    seg = B.table(spark, sf_dir, "supplier").select(
+        s.alias("seg_id"), (s % 8 + 1).alias("num_channels"), F.when(s % 4 == 0, 2).when(s % 4 == 1, 4).when(s % 4 == 2, 8).otherwise(3).alias("value_bytes"), (s * 13).alias("data_start"),
+        (s * 13 + (s % 50) * (s % 8 + 4) * 8 + s % 3).alias("data_end"), (s * 13 + F.when(s % 5 == 0, 100).otherwise(10_000)).alias("file_size"),
+    )
+    return mosaic.isolate(seg).select("seg_id", "status", "n_records", "message")

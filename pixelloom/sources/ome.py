@@ -1,15 +1,19 @@
-"""OME-XML: built for a writer, read for a listing, and as a column expression."""
+"""OME-XML: built for a writer, read for a listing. Names of elements, attributes and namespace are fixed values."""
 
 from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
 
 NAMESPACE = "http://www.openmicroscopy.org/Schemas/OME/2016-06"
 CREATOR = "pixelloom 0.1.0"
+INSTRUMENT = "Instrument:StandardBioToolsInstrument"
+#: Fixed value: a message that callers match on.
+NO_METADATA = "No OME-XML metadata found"
 
 
 @dataclass
@@ -38,7 +42,7 @@ def to_xml(info: ImageInfo) -> str:
     nested += [("TiffData", {"FirstC": k, "FirstZ": 0, "FirstT": 0, "IFD": k, "PlaneCount": 1}) for k in range(n)]
     text = lambda d: {k: str(v) for k, v in d.items()}
     root = ET.Element("OME", {"xmlns": NAMESPACE, "Creator": CREATOR})
-    ET.SubElement(root, "Instrument", {"ID": "Instrument:StandardBioToolsInstrument"})
+    ET.SubElement(root, "Instrument", {"ID": INSTRUMENT})
     holder = ET.SubElement(ET.SubElement(root, "Image", {"ID": info.image_id, "Name": info.name}), "Pixels", text(pixels))
     for tag, d in nested:
         ET.SubElement(holder, tag, text(d))
@@ -49,17 +53,23 @@ def to_xml(info: ImageInfo) -> str:
 def from_xml(xml: str | None) -> ImageInfo:
     """Channels, sizes (0 where missing) and physical sizes (1.0 where missing)."""
     if not xml:
-        raise ValueError("No OME-XML metadata found")
+        raise ValueError(NO_METADATA)
     root = ET.fromstring(xml)
     q = f"{{{NAMESPACE}}}"
     pixels = root.find(f".//{q}Pixels")
     if pixels is None:
-        raise ValueError("No OME-XML metadata found")
+        raise ValueError(NO_METADATA)
     names = [c.get("Name") for c in root.iter(f"{q}Channel")]
     return ImageInfo(names, int(pixels.get("SizeX", 0)), int(pixels.get("SizeY", 0)), pixels.get("Type", "uint16"), physical_x=float(pixels.get("PhysicalSizeX", 1.0)), physical_y=float(pixels.get("PhysicalSizeY", 1.0)))
 
 
-def summary_column() -> Column:
-    """The image element in short, as an expression over region columns."""
-    escaped = F.replace(F.replace(F.replace(F.col("description"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
-    return F.format_string('<Image ID="Image:%s" Name="%s"><Pixels ID="Pixels:%s" SizeX="%d" SizeY="%d" SizeC="%d"/></Image>', "acq_id", escaped, "acq_id", "width", "height", "num_channels")
+def documents(images: DataFrame) -> DataFrame:
+    """Adds ``xml``, the document of each row's struct ``image`` (id, name, channel_labels, width, height, pitch, pitch_y), which goes."""
+
+    def run(batches):
+        for b in batches:
+            made = [to_xml(ImageInfo(i["channel_labels"], i["width"], i["height"], "uint16", i["name"], f"Image:{i['id']}", f"Pixels:{i['id']}", f"Channel:{i['id']}:", i["pitch"], i["pitch_y"])) for i in b.column("image").to_pylist()]
+            yield b.drop_columns(["image"]).append_column("xml", pa.array(made, pa.string()))
+
+    rest = images.drop("image")
+    return images.mapInArrow(run, StructType([*rest.schema.fields, StructField("xml", StringType())]))

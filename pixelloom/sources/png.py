@@ -15,11 +15,11 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
 
 
 def write_png(image: np.ndarray) -> bytes:
-    """8-bit grey, RGB or RGBA, by the last axis."""
+    """8-bit grey, grey and alpha, RGB or RGBA, by the last axis."""
     image = np.ascontiguousarray(image, np.uint8)
     if image.ndim == 2:
         image = image[:, :, None]
-    colour = {1: 0, 3: 2, 4: 6}[image.shape[2]]
+    colour = {1: 0, 2: 4, 3: 2, 4: 6}[image.shape[2]]
     height, width, depth = image.shape
     rows = np.zeros((height, 1 + width * depth), np.uint8)
     rows[:, 1:] = image.reshape(height, -1)
@@ -31,22 +31,50 @@ def png_size(data: bytes) -> tuple[int, int] | None:
     return struct.unpack(">II", data[16:24]) if data[:8] == SIGNATURE and len(data) >= 24 else None
 
 
+def _unfilter(rows: np.ndarray, depth: int) -> np.ndarray:
+    """Undoes the five row filters; ``rows`` have the filter's number first."""
+    out = rows[:, 1:].copy()
+    above = np.zeros(out.shape[1], np.uint8)
+    for kind, row in zip(rows[:, 0].tolist(), out, strict=True):
+        if kind == 1:
+            row[:] = np.cumsum(row.reshape(-1, depth), axis=0, dtype=np.uint8).ravel()
+        elif kind == 2:
+            row += above
+        elif kind in (3, 4):
+            have, up = row.tolist(), above.tolist()
+            for x in range(len(have)):
+                left = have[x - depth] if x >= depth else 0
+                if kind == 3:
+                    guess = (left + up[x]) // 2
+                else:
+                    corner = up[x - depth] if x >= depth else 0
+                    near = [(abs(up[x] - corner), 0, left), (abs(left - corner), 1, up[x]), (abs(left + up[x] - 2 * corner), 2, corner)]
+                    guess = min(near)[2]
+                have[x] = have[x] + guess & 255
+            row[:] = have
+        elif kind:
+            raise ValueError(f"row filter {kind} is not known")
+        above = row
+    return out
+
+
 def read_png(data: bytes) -> np.ndarray:
-    """Arrays from files of 8 bits without interlace and filters, such as ``write_png`` makes."""
+    """Arrays (height, width, 1 to 4) from files of 8 bits without interlace: grey, grey and alpha, RGB, RGBA, palette (as RGB)."""
     if png_size(data) is None:
         raise ValueError("no PNG signature")
-    at, body, head = 8, b"", b""
-    while at < len(data):
+    at, parts = 8, {b"IHDR": b"", b"PLTE": b"", b"IDAT": b""}
+    while at + 8 <= len(data):
         size, kind = struct.unpack_from(">I4s", data, at)
-        part = data[at + 8 : at + 8 + size]
-        head, body = (part if kind == b"IHDR" else head), body + (part if kind == b"IDAT" else b"")
+        if kind in parts:
+            parts[kind] += data[at + 8 : at + 8 + size]
         at += 12 + size
-    width, height, bits, colour, _, _, interlace = struct.unpack(">IIBBBBB", head)
-    depth = {0: 1, 2: 3, 6: 4}.get(colour)
-    rows = np.frombuffer(zlib.decompress(body), np.uint8)
-    if bits != 8 or depth is None or interlace or rows.reshape(height, -1)[:, 0].any():
-        raise ValueError("only plain 8-bit PNGs are read")
-    return rows.reshape(height, -1)[:, 1:].reshape(height, width, depth)
+    width, height, bits, colour, _, _, interlace = struct.unpack(">IIBBBBB", parts[b"IHDR"])
+    depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if bits != 8 or depth is None or interlace:
+        raise ValueError("only 8-bit PNGs without interlace are read")
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, 1 + width * depth)
+    image = _unfilter(rows, depth).reshape(height, width, depth)
+    return np.frombuffer(parts[b"PLTE"], np.uint8).reshape(-1, 3)[image[:, :, 0]] if colour == 3 else image
 
 
 def draw_line(image: np.ndarray, start, end, colour, width: int) -> None:
@@ -64,7 +92,7 @@ def draw_overlay(image: np.ndarray, regions: list[dict]) -> np.ndarray:
 
     There is no font here: a box is as wide as its name would be, and names go to a label table.
     """
-    out = (np.repeat(image, 3, axis=2) if image.shape[2] == 1 else image).copy()
+    out = (np.repeat(image[:, :, :1], 3, axis=2) if image.shape[2] < 3 else image).copy()
     for r in regions:
         colour = [int(r["colour"][k : k + 2], 16) for k in (1, 3, 5)]
         for a, b in zip(r["points"], [*r["points"][1:], *r["points"][:1]], strict=True):

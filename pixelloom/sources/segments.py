@@ -20,12 +20,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from pixelloom.operators import mosaic
+
 TYPES = {2: "<f2", 4: "<f4", 8: "<f8"}
 BATCH_RECORDS = 50_000
 SPLIT_BYTES = 64 << 20
 SCHEMA = "roi_id int, rec_ord bigint, x double, y double, values array<double>"
 
 
+#: Messages that callers match on.
+WIDTH = "Unsupported ValueBytes={value_bytes} for '{name}' (expected 2, 4, or 8)"
+SIZE = "Acquisition data size mismatch for '{name}'"
+ENDED = "The file ends before the segment of '{name}'"
+RECOVERED = "Warning: strict read failed for {name}. Retrying in recovery mode."
+
+
 class SegmentError(OSError):
     """A segment whose size, width or file does not fit its description."""
 
@@ -56,16 +65,17 @@ def resolve_tiffs(path: str | Path) -> list[Path]:
 def count_records(segment: dict, strict: bool, file_size: int | None = None) -> int:
     """Whole records of a segment."""
     width = int(segment.get("value_bytes") or 4)
+    name = segment.get("name")
     if width not in TYPES:
-        raise SegmentError(f"Unsupported ValueBytes={width} for {segment.get('name')!r} (expected 2, 4, or 8)")
+        raise SegmentError(WIDTH.format(value_bytes=width, name=name))
     record = (int(segment["num_channels"]) + 3) * width
     size = int(segment["data_end"]) - int(segment["data_start"])
     if file_size is not None and file_size < int(segment["data_end"]):
         if strict:
-            raise SegmentError(f"The file ends before the segment of {segment.get('name')!r}")
+            raise SegmentError(ENDED.format(name=name))
         size = max(0, file_size - int(segment["data_start"]))
     if size % record and strict:
-        raise SegmentError(f"Acquisition data size mismatch for {segment.get('name')!r}")
+        raise SegmentError(SIZE.format(name=name))
     return size // record
 
 
@@ -98,7 +108,7 @@ class SegmentReader(DataSourceReader):
             if self.wanted is not None and s["roi_id"] not in self.wanted:
                 continue
             path = s.get("path") or self.path
-            n = count_records(s, self.strict, os.path.getsize(path))
+            n = s["n_records"] if "n_records" in s else count_records(s, self.strict, os.path.getsize(path))
             record = (int(s["num_channels"]) + 3) * int(s.get("value_bytes") or 4)
             step = max(1, SPLIT_BYTES // record)
             out += [Range(s, path, k, min(step, n - k)) for k in range(0, n, step)]
@@ -144,13 +154,15 @@ def read_segments(spark: SparkSession, path: str, segments: list[dict], strict:
 
 
 def read_segments_safely(spark: SparkSession, path: str, segments: list[dict]) -> tuple[DataFrame, list[str]]:
-    """Strict where that works, whole records elsewhere, with a warning for each such segment."""
-    warnings = []
-    for s in segments:
-        try:
-            count_records(s, True, os.path.getsize(s.get("path") or path))
-        except SegmentError as e:
-            if "Unsupported" in str(e):
-                raise
-            warnings.append(f"Warning: strict read failed for {s.get('name')}. Retrying in recovery mode.")
-    return read_segments(spark, path, segments, strict=not warnings), warnings
+    """Whole records of every segment, with a warning for each that is not whole; a width that is not supported raises.
+
+    What each comes to is told by ``mosaic.isolate`` over a table of a row a segment.
+    """
+    rows = [(k, int(s["data_start"]), int(s["data_end"]), int(s.get("value_bytes") or 4), int(s["num_channels"]), os.path.getsize(s.get("path") or path)) for k, s in enumerate(segments)]
+    table = spark.createDataFrame(rows, "k int, data_start long, data_end long, value_bytes int, num_channels int, file_size long")
+    told = {r.k: r for r in mosaic.isolate(table).collect()} if rows else {}
+    for k, r in told.items():
+        if r.status == "skipped":
+            raise SegmentError(WIDTH.format(value_bytes=r.value_bytes, name=segments[k].get("name")))
+    warnings = [RECOVERED.format(name=segments[k].get("name")) for k, r in sorted(told.items()) if r.status == "recovered"]
+    return read_segments(spark, path, [s | {"n_records": told[k].n_records} for k, s in enumerate(segments)]), warnings

@@ -1,14 +1,19 @@
-"""BigTIFF images: tiled planes, pyramids in SubIFDs, and a reader for files of this layout.
+"""TIFF images: a BigTIFF writer of tiled planes with pyramids in SubIFDs, and a reader of TIFF and BigTIFF.
 
-Planes are written one after the other; only one plane is held at a time. Compression is
-none, LZW (written here) or zstd.
+Planes are written one after the other; only one plane is held at a time. They can also be compressed
+elsewhere, each into a file of its own, and put together by copying. Compression is none, LZW (written
+here) or zstd; the reader takes deflate as well, either byte order, tiles or strips, and horizontal
+differences.
 """
 
 from __future__ import annotations
 
 import io
 import os
+import shutil
 import struct
+import tempfile
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -19,10 +24,12 @@ import zstandard
 NEW_SUBFILE, WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, SAMPLES = 254, 256, 257, 258, 259, 262, 270, 277
 STRIP_OFFSETS, ROWS_PER_STRIP, STRIP_COUNTS = 273, 278, 279
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, SUB_IFDS, SAMPLE_FORMAT = 322, 323, 324, 325, 330, 339
-ASCII, SHORT, LONG, LONG8, IFD8 = 2, 3, 4, 16, 18
-SIZES = {1: 1, ASCII: 1, SHORT: 2, LONG: 4, LONG8: 8, IFD8: 8}
-CODES = {ASCII: "c", SHORT: "H", LONG: "I", LONG8: "Q", IFD8: "Q", 1: "B"}
+PREDICTOR = 317
+ASCII, SHORT, LONG, IFD, LONG8, IFD8 = 2, 3, 4, 13, 16, 18
+SIZES = {1: 1, ASCII: 1, SHORT: 2, LONG: 4, IFD: 4, LONG8: 8, IFD8: 8, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 17: 8}
+CODES = {1: "B", ASCII: "c", SHORT: "H", LONG: "I", IFD: "I", LONG8: "Q", IFD8: "Q"}
 COMPRESSIONS = {"none": 1, "lzw": 5, "zstd": 50000}
+DEFLATE = (8, 32946)
 
 
 def lzw_encode(data: bytes) -> bytes:
@@ -111,6 +118,8 @@ def decompress(data: bytes, code: int) -> bytes:
         return zstandard.ZstdDecompressor().decompress(data)
     if code == COMPRESSIONS["lzw"]:
         return lzw_decode(data)
+    if code in DEFLATE:
+        return zlib.decompress(data)
     if code != COMPRESSIONS["none"]:
         raise ValueError(f"compression {code} is not supported")
     return data
@@ -123,6 +132,20 @@ def compression_name(name: str | None) -> str:
     return key
 
 
+def blocks(plane: np.ndarray, compression: str, tile: int | None) -> Iterator[bytes]:
+    """The compressed tiles of a plane, or the plane as one strip."""
+    plane = np.ascontiguousarray(plane.astype(plane.dtype.newbyteorder("<")))
+    if not tile:
+        yield compress(plane.tobytes(), compression)
+        return
+    for y in range(0, max(1, plane.shape[0]), tile):
+        for x in range(0, max(1, plane.shape[1]), tile):
+            block = np.zeros((tile, tile), plane.dtype)
+            part = plane[y : y + tile, x : x + tile]
+            block[: part.shape[0], : part.shape[1]] = part
+            yield compress(block.tobytes(), compression)
+
+
 class BigTiffWriter:
     """Appends planes to a file; links each directory from the one before."""
 
@@ -131,39 +154,16 @@ class BigTiffWriter:
         file.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
         self.link = 8
 
-    def _blocks(self, plane: np.ndarray) -> Iterator[bytes]:
-        if not self.tile:
-            yield plane.tobytes()
-            return
-        t = self.tile
-        for y in range(0, max(1, plane.shape[0]), t):
-            for x in range(0, max(1, plane.shape[1]), t):
-                block = np.zeros((t, t), plane.dtype)
-                part = plane[y : y + t, x : x + t]
-                block[: part.shape[0], : part.shape[1]] = part
-                yield block.tobytes()
-
-    def _pixels(self, plane: np.ndarray) -> tuple[list[int], list[int]]:
-        offsets, counts = [], []
-        for raw in self._blocks(plane):
-            data = compress(raw, self.compression)
-            offsets.append(self.file.tell())
-            counts.append(len(data))
-            self.file.write(data)
-        return offsets, counts
-
-    def _directory(self, plane: np.ndarray, description: str | None, reduced: bool, subs: list[int]) -> int:
-        """Writes pixels and directory; gives the directory's offset."""
-        plane = np.ascontiguousarray(plane.astype(plane.dtype.newbyteorder("<")))
-        offsets, counts = self._pixels(plane)
+    def _directory(self, shape, dtype: np.dtype, offsets: list[int], counts: list[int], description: str | None, reduced: bool, subs: list[int]) -> int:
+        """Writes a directory; gives its offset."""
         tags = {
-            NEW_SUBFILE: (LONG, [int(reduced)]), WIDTH: (LONG, [plane.shape[1]]), HEIGHT: (LONG, [plane.shape[0]]), BITS: (SHORT, [8 * plane.dtype.itemsize]), COMPRESSION: (SHORT, [COMPRESSIONS[self.compression]]),
-            PHOTOMETRIC: (SHORT, [1]), SAMPLES: (SHORT, [1]), SAMPLE_FORMAT: (SHORT, [3 if plane.dtype.kind == "f" else 1]),
+            NEW_SUBFILE: (LONG, [int(reduced)]), WIDTH: (LONG, [shape[1]]), HEIGHT: (LONG, [shape[0]]), BITS: (SHORT, [8 * dtype.itemsize]), COMPRESSION: (SHORT, [COMPRESSIONS[self.compression]]),
+            PHOTOMETRIC: (SHORT, [1]), SAMPLES: (SHORT, [1]), SAMPLE_FORMAT: (SHORT, [3 if dtype.kind == "f" else 1]),
         }
         if self.tile:
             tags |= {TILE_WIDTH: (LONG, [self.tile]), TILE_HEIGHT: (LONG, [self.tile]), TILE_OFFSETS: (LONG8, offsets), TILE_COUNTS: (LONG8, counts)}
         else:
-            tags |= {STRIP_OFFSETS: (LONG8, offsets), ROWS_PER_STRIP: (LONG, [plane.shape[0]]), STRIP_COUNTS: (LONG8, counts)}
+            tags |= {STRIP_OFFSETS: (LONG8, offsets), ROWS_PER_STRIP: (LONG, [shape[0]]), STRIP_COUNTS: (LONG8, counts)}
         if description is not None:
             tags[DESCRIPTION] = (ASCII, description.encode("utf-8") + b"\0")
         if subs:
@@ -183,10 +183,17 @@ class BigTiffWriter:
         self.file.write(struct.pack("<Q", len(entries)) + b"".join(entries) + struct.pack("<Q", 0))
         return start
 
-    def write(self, levels: list[np.ndarray], description: str | None = None) -> None:
-        """One plane with its smaller levels, which become SubIFDs."""
-        subs = [self._directory(p, None, True, []) for p in levels[1:]]
-        start = self._directory(levels[0], description, False, subs)
+    def append(self, levels: list[tuple[tuple[int, int], list[int]]], dtype: np.dtype, source: io.BufferedIOBase, description: str | None = None) -> None:
+        """One plane with its smaller levels, which become SubIFDs: (shape, sizes of its blocks) of each, and the blocks one after the other."""
+        at = self.file.tell()
+        shutil.copyfileobj(source, self.file, 1 << 20)
+        ends = at + np.cumsum([n for _, counts in levels for n in counts])
+        offsets, k = [], 0
+        for _, counts in levels:
+            offsets.append([int(e) - n for e, n in zip(ends[k : k + len(counts)], counts, strict=True)])
+            k += len(counts)
+        subs = [self._directory(shape, dtype, own, counts, None, True, []) for (shape, counts), own in zip(levels[1:], offsets[1:], strict=True)]
+        start = self._directory(levels[0][0], dtype, offsets[0], levels[0][1], description, False, subs)
         end = self.file.tell()
         self.file.seek(self.link)
         self.file.write(struct.pack("<Q", start))
@@ -194,6 +201,18 @@ class BigTiffWriter:
         self.link = end - 8
 
 
+def write_blocks(levels: list[np.ndarray], file: io.BufferedIOBase, compression: str, tile: int | None = 256) -> list[tuple[tuple[int, int], list[int]]]:
+    """Compresses a plane and its levels into a file of their blocks alone; gives what ``append`` takes."""
+    out = []
+    for p in levels:
+        counts = []
+        for data in blocks(p, compression_name(compression), tile):
+            counts.append(len(data))
+            file.write(data)
+        out.append((p.shape, counts))
+    return out
+
+
 def strided_levels(plane: np.ndarray, levels: int) -> list[np.ndarray]:
     return [plane[:: 1 << k, :: 1 << k] for k in range(levels)]
 
@@ -205,7 +224,10 @@ def write_tiff(path: str, planes: Iterable[np.ndarray], description: str, compre
         with open(part, "wb") as f:
             writer = BigTiffWriter(f, compression, tile)
             for k, plane in enumerate(planes):
-                writer.write(strided_levels(plane, levels), description if k == 0 else None)
+                with tempfile.SpooledTemporaryFile(64 << 20) as held:
+                    made = write_blocks(strided_levels(plane, levels), held, compression, tile)
+                    held.seek(0)
+                    writer.append(made, plane.dtype, held, description if k == 0 else None)
         os.replace(part, path)
     finally:
         if os.path.exists(part):
@@ -216,6 +238,7 @@ def write_tiff(path: str, planes: Iterable[np.ndarray], description: str, compre
 class Page:
     tags: dict
     data: io.BufferedIOBase
+    order: str = "<"
     subs: list = field(default_factory=list)
 
     @property
@@ -225,7 +248,7 @@ class Page:
     @property
     def dtype(self) -> np.dtype:
         letter = {1: "u", 2: "i", 3: "f"}[self.tags.get(SAMPLE_FORMAT, [1])[0]]
-        return np.dtype(f"<{letter}{self.tags[BITS][0] // 8}")
+        return np.dtype(f"{self.order}{letter}{self.tags[BITS][0] // 8}")
 
     @property
     def description(self) -> str | None:
@@ -234,44 +257,57 @@ class Page:
 
     def asarray(self) -> np.ndarray:
         height, width = self.shape
+        if self.tags.get(SAMPLES, [1])[0] != 1:
+            raise ValueError("only planes of one sample a pixel are read")
         tiled = TILE_OFFSETS in self.tags
         offsets, counts = self.tags[TILE_OFFSETS if tiled else STRIP_OFFSETS], self.tags[TILE_COUNTS if tiled else STRIP_COUNTS]
-        th, tw = (self.tags[TILE_HEIGHT][0], self.tags[TILE_WIDTH][0]) if tiled else (self.tags.get(ROWS_PER_STRIP, [height])[0], width)
+        th, tw = (self.tags[TILE_HEIGHT][0], self.tags[TILE_WIDTH][0]) if tiled else (min(height, self.tags.get(ROWS_PER_STRIP, [height])[0]), width)
+        differences = self.tags.get(PREDICTOR, [1])[0]
+        if differences not in (1, 2):
+            raise ValueError(f"predictor {differences} is not supported")
         out, across = np.zeros((height, width), self.dtype), -(-width // tw)
         for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
             self.data.seek(at)
-            raw = np.frombuffer(decompress(self.data.read(n), self.tags[COMPRESSION][0]), self.dtype)
             y, x = k // across * th, k % across * tw
             rows = th if tiled else min(th, height - y)
-            out[y : y + rows, x : x + tw] = raw.reshape(rows, tw)[: height - y, : width - x]
+            raw = np.frombuffer(decompress(self.data.read(n), self.tags.get(COMPRESSION, [1])[0]), self.dtype)[: rows * tw].reshape(rows, tw)
+            if differences == 2:
+                raw = np.cumsum(raw, axis=1, dtype=self.dtype.newbyteorder("="))
+            out[y : y + rows, x : x + tw] = raw[: height - y, : width - x]
         return out
 
 
 def read_pages(f: io.BufferedIOBase) -> list[Page]:
-    """Directories of a little-endian BigTIFF, with their SubIFDs; pixels are read on demand."""
+    """Directories of a TIFF or BigTIFF, with their SubIFDs; pixels are read on demand."""
     head = f.read(16)
-    if len(head) < 16 or head[:4] != b"II\x2b\0":
-        raise ValueError("no little-endian BigTIFF")
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    version = struct.unpack(f"{order}H", head[2:4])[0] if order and len(head) >= 8 else 0
+    if version not in (42, 43) or (version == 43 and len(head) < 16):
+        raise ValueError("no TIFF")
+    big = version == 43
+    offset, number, entry = ("Q", "Q", 20) if big else ("I", "H", 12)
+    inline = struct.calcsize(offset)
 
     def page(at: int) -> tuple[Page, int]:
         f.seek(at)
-        n = struct.unpack("<Q", f.read(8))[0]
-        raw = f.read(20 * n + 8)
+        n = struct.unpack(order + number, f.read(struct.calcsize(number)))[0]
+        raw = f.read(entry * n + inline)
         tags: dict = {}
         for k in range(n):
-            tag, kind, count = struct.unpack_from("<HHQ", raw, 20 * k)
+            tag, kind, count = struct.unpack_from(f"{order}HH{offset}", raw, entry * k)
             size = SIZES.get(kind, 1) * count
-            value = raw[20 * k + 12 : 20 * k + 20]
-            if size > 8:
-                f.seek(struct.unpack("<Q", value)[0])
+            value = raw[entry * (k + 1) - inline : entry * (k + 1)]
+            if size > inline:
+                f.seek(struct.unpack(order + offset, value)[0])
                 value = f.read(size)
-            tags[tag] = value[:size] if kind in (1, ASCII) else list(struct.unpack(f"<{count}{CODES[kind]}", value[:size]))
-        own = Page(tags, f)
+            tags[tag] = list(struct.unpack(f"{order}{count}{CODES[kind]}", value[:size])) if kind in CODES and kind not in (1, ASCII) else value[:size]
+        own = Page(tags, f, order)
         own.subs = [page(s)[0] for s in tags.get(SUB_IFDS, [])]
-        return own, struct.unpack_from("<Q", raw, 20 * n)[0]
+        return own, struct.unpack_from(order + offset, raw, entry * n)[0]
 
-    out, at = [], struct.unpack_from("<Q", head, 8)[0]
-    while at:
+    out, seen, at = [], set(), struct.unpack_from(order + offset, head, 8 if big else 4)[0]
+    while at and at not in seen:
+        seen.add(at)
         own, at = page(at)
         out.append(own)
     return out

@@ -3,12 +3,17 @@
 import base64
 import io
 import json
+import struct
+import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pixelloom import api, cli
+from pixelloom.functions import scalars
 from pixelloom.functions.indexspec import parse_channels, parse_indices
+from pixelloom.operators import mosaic
 from pixelloom.sources import ome, png, segments, tiff
 
 
@@ -34,6 +39,96 @@ def test_tiff(tmp_path, compression, tile):
         tiff.compression_name("jpeg")
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("predictor", [1, 2])
+def test_classic_tiff(order, predictor):
+    """Two pages of different sizes, in strips, one deflated with horizontal differences: as a series a channel has them."""
+    rng = np.random.default_rng(4)
+    images = [rng.integers(0, 60_000, (5, 7)).astype(f"{order}u2"), rng.integers(0, 60_000, (3, 2)).astype(f"{order}u2")]
+    data, link, entry = bytearray(struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, 0)), 4, f"{order}HHI4s"
+    for k, a in enumerate(images):
+        strips = []
+        for y in range(0, a.shape[0], 2):
+            part = a[y : y + 2]
+            if predictor == 2:
+                part = np.diff(part, axis=1, prepend=part.dtype.type(0)).astype(a.dtype)
+            strips.append(zlib.compress(part.tobytes()) if k == 0 else part.tobytes())
+        at = []
+        for x in strips:
+            at.append(len(data))
+            data += x
+        tables = []
+        for values in (at, [len(x) for x in strips]):
+            tables.append(len(data))
+            data += struct.pack(f"{order}{len(values)}I", *values)
+        one = lambda v: struct.pack(f"{order}I", v)
+        short = lambda v: struct.pack(f"{order}HH", v, 0)
+        many = [at[0], len(strips[0])] if len(strips) == 1 else tables
+        tags = [(256, 4, 1, one(a.shape[1])), (257, 3, 1, short(a.shape[0])), (258, 3, 1, short(16)), (259, 3, 1, short(8 if k == 0 else 1)), (273, 4, len(at), one(many[0])), (278, 4, 1, one(2)), (279, 4, len(at), one(many[1])), (317, 3, 1, short(predictor))]
+        data[link : link + 4] = one(len(data))
+        data += struct.pack(f"{order}H", len(tags)) + b"".join(struct.pack(entry, *t) for t in tags)
+        link = len(data)
+        data += one(0)
+    pages = tiff.read_pages(io.BytesIO(bytes(data)))
+    assert len(pages) == 2 and all((p.asarray() == a).all() for p, a in zip(pages, images, strict=True))
+    with pytest.raises(ValueError, match="no TIFF"):
+        tiff.read_pages(io.BytesIO(b"GIF89a"))
+
+
+def test_png_filters_and_palette():
+    rng = np.random.default_rng(6)
+    image = rng.integers(0, 256, (6, 9, 3)).astype(np.uint8)
+    rows, above = b"", np.zeros(27, int)
+    for y, kind in enumerate((0, 1, 2, 3, 4, 4)):
+        own = image[y].ravel().astype(int)
+        left = np.concatenate([np.zeros(3, int), own[:-3]])
+        corner = np.concatenate([np.zeros(3, int), above[:-3]])
+        near = [min((abs(u - c), 0, a), (abs(a - c), 1, u), (abs(a + u - 2 * c), 2, c))[2] for a, u, c in zip(left, above, corner, strict=True)]
+        guess = [np.zeros(27, int), left, above, (left + above) // 2, np.array(near)][kind]
+        rows += bytes([kind]) + ((own - guess) % 256).astype(np.uint8).tobytes()
+        above = own
+    head = lambda w, h, c: png._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, c, 0, 0, 0))
+    body = zlib.compress(rows)
+    data = png.SIGNATURE + head(9, 6, 2) + png._chunk(b"IDAT", body[:40]) + png._chunk(b"IDAT", body[40:]) + png._chunk(b"IEND", b"")
+    assert (png.read_png(data) == image).all()
+    colours = rng.integers(0, 256, (4, 3)).astype(np.uint8)
+    data = png.SIGNATURE + head(2, 1, 3) + png._chunk(b"PLTE", colours.tobytes()) + png._chunk(b"IDAT", zlib.compress(b"\0\3\1"))
+    assert (png.read_png(data) == colours[[3, 1]][None]).all()
+    two = rng.integers(0, 256, (3, 4, 2)).astype(np.uint8)
+    assert (png.read_png(png.write_png(two)) == two).all()
+
+
+def test_planes_are_cast_as_columns_are(spark):
+    v = [-3.0, 0.7, 1.99, 65535.0, 70000.0, float("nan"), float("inf"), float("-inf")]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    for dtype in ("uint16", "float32"):
+        want = [r[0] for r in df.select(scalars.to_output(F.col("v"), dtype)).collect()]
+        np.testing.assert_array_equal(api.cast_plane(np.array(v), dtype), np.array(want, np.float32 if dtype == "float32" else np.uint16))
+    plane = np.arange(35).reshape(5, 7)
+    cells = spark.createDataFrame([(y, x, int(plane[y, x])) for y in range(5) for x in range(7)], "y int, x int, v int")
+    for level, a in enumerate(tiff.strided_levels(plane, 3)):
+        got = {(r.y, r.x): r.v for r in mosaic.pyramid(cells, 3).where(f"level = {level}").collect()}
+        assert got == {(y, x): a[y, x] for y in range(a.shape[0]) for x in range(a.shape[1])}
+
+
+def test_planes_are_written_by_many_tasks(spark, tmp_path):
+    images = [{"path": str(tmp_path / f"{k}.tiff"), "xml": ome.to_xml(ome.ImageInfo(["a", "b", "c"], 300, 260)), "channels": 3, "shape": (260, 300)} for k in range(2)]
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(c), int(y), int(x), float(v)) for k, c, y, x, v in zip(rng.integers(0, 2, 400), rng.choice([0, 2], 400), rng.integers(0, 260, 400), rng.integers(0, 300, 400), rng.integers(1, 9, 400), strict=True)]
+    rows = [(*k, v) for k, v in {r[:4]: r[4] for r in rows}.items()]
+    cells = spark.createDataFrame(rows, "image int, ch int, y int, x int, v double").repartition(5)
+    assert api.write_images(cells, images, "uint16", "zstd", levels=2) == 2
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["0.tiff", "1.tiff"]
+    for k, i in enumerate(images):
+        want = np.zeros((3, 260, 300), np.uint16)
+        for im, c, y, x, v in rows:
+            if im == k:
+                want[c, y, x] = v
+        with open(i["path"], "rb") as f:
+            pages = tiff.read_pages(f)
+            assert (np.stack([p.asarray() for p in pages]) == want).all() and (pages[2].subs[0].asarray() == want[2, ::2, ::2]).all()
+
+
 def test_png():
     image = np.random.default_rng(2).integers(0, 255, (7, 5, 3)).astype(np.uint8)
     data = png.write_png(image)
@@ -202,9 +297,9 @@ def test_process_and_subset(spark, container, tmp_path, capsys):
     assert "bad.tiff" in (tmp_path / "s/error_log.txt").read_text()
     assert api.tiff_subset(tiff_files=[folder / "gone.tiff"]) == 0
     with pytest.raises(ValueError, match="replace"):
-        api.subset_file(folder / "roi0.ome.tiff", folder, None, None, "uint16")
+        api.subset_file(folder / "roi0.ome.tiff", folder / "roi0.ome.tiff", None, None, "uint16")
     with pytest.raises(ValueError, match="No valid channels"):
-        api.subset_file(folder / "roi0.ome.tiff", tmp_path, "all", None, "uint16")
+        api.subset_file(folder / "roi0.ome.tiff", tmp_path / "x.ome.tiff", "all", None, "uint16")
 
 
 def test_command_lines(spark, container, tmp_path, capsys):

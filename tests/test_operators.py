@@ -155,8 +155,14 @@ def test_segments_and_panoramas(spark):
     seg = spark.createDataFrame([(0, 0, 40, 4, 2), (1, 0, 43, 4, 2), (2, 0, 40, 3, 2)], "i int, data_start long, data_end long, value_bytes int, num_channels int")
     assert [(r.n_records, r.status) for r in mosaic.segment_check(seg).orderBy("i").collect()] == [(2, "ok"), (0, "partial"), (0, "unsupported")]
     assert [r.n_records for r in mosaic.segment_check(seg, False).orderBy("i").collect()] == [2, 2, 0]
-    text = reports.roi_map_text(spark.createDataFrame([(10, 20, 0.0, 1.0, 0.0, 2.0)], "width_px int, height_px int, p_min_x double, p_max_x double, p_min_y double, p_max_y double").first(), [rois(spark, roi(0, 0, 0, 1, 1)).first()])
-    assert "--- r0 ---" in text and "top_left: 0.0, 20.0" in text
+    odd = seg.withColumn("file_size", F.when(F.col("i") == 0, 25).otherwise(1000).cast("long"))
+    assert [(r.n_records, r.status, r.data_end) for r in mosaic.isolate(odd).orderBy("i").collect()] == [(1, "recovered", 40), (2, "recovered", 43), (0, "skipped", 40)]
+    panorama = spark.createDataFrame([(0, 10, 20, 0.0, 1.0, 0.0, 2.0)], "flat_ix int, width_px int, height_px int, p_min_x double, p_max_x double, p_min_y double, p_max_y double")
+    made = catalog.select_rois(rois(spark, roi(0, 0, 0, 1, 1), roi(1, 0.0625, 0, 1, 1, corners=[(0.00625, 0), (1, 0)])))
+    text = reports.text_of(reports.roi_map_lines(panorama, made))
+    # The last of the regions comes first; ties go to the even digit.
+    assert text.index("--- r1 ---") < text.index("--- r0 ---") and "top_left: 0.0, 20.0" in text and "top_left: 0.1, 20.0" in text
+    assert [r[0] for r in spark.createDataFrame([(0.0625,), (0.1875,), (1234.5,), (-0.25,)], "x double").select(reports.fixed(F.col("x"), 3)).collect()] == ["0.062", "0.188", "1234.500", "-0.250"]
 
 
 def test_names(spark):
