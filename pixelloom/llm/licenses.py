@@ -14,9 +14,10 @@ least under that permutation. So documents without any such shingle are dropped
 hashing, and windows without one before they are unrolled; neither loses a match.
 
 Defined results: null, empty and short texts have no matches. Each document row that matches a
-template gives one row: the best window's share, the earliest on ties. Rows that repeat a
-doc_id give one row per template together. Only the tables of templates and their bands are
-collected or broadcast; both are bounded by the number of templates.
+template gives one row: the best window's share, the earliest on ties. Rows alike in doc_id and text
+give one row per template together; rows of a null or repeated doc_id with texts of their own give
+their own. Only the tables of templates and their bands are collected or broadcast; both are bounded by
+the number of templates.
 """
 
 from __future__ import annotations
@@ -62,7 +63,6 @@ def shingle_words(text: Column) -> Column:
 def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
     """Hashes of all ``n``-word shingles of an array column of words, in order."""
 
-
     def hashes(w):
         own = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(n))))
         return F.when(F.size(w) >= n, own).otherwise(F.array().cast("array<bigint>"))
@@ -98,19 +98,19 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, doc_id
     seeds = {w: sorted({v ^ m for _, _, least in ts for v, m in zip(least, own_masks, strict=True)}) for w, ts in scales.items()}
     every = sorted({s for x in seeds.values() for s in x})
 
-    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), F.col(text).alias("text"))
     d = hashed(d).where(F.exists("h", lambda x: x.isin(every)))
     windows = bind(F.col("h"), lambda h: F.concat(*(_windows(h, width, seed) for width, seed in seeds.items())))
-    found = d.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.*")
+    found = d.select("doc_id", "own", F.explode(windows).alias("w")).select("doc_id", "own", "w.*")
     least = F.array(*(_least("grams", m) for m in own_masks))
-    met = found.select("doc_id", "width", "start", "grams", F.posexplode(least).alias("band", "least"))
+    met = found.select("doc_id", "own", "width", "start", "grams", F.posexplode(least).alias("band", "least"))
     table = spark.createDataFrame([(w, b, v, name) for w, ts in scales.items() for name, _, vs in ts for b, v in enumerate(vs)], "width int, band int, least long, license string")
     grams = spark.createDataFrame([(name, g) for ts in scales.values() for name, g, _ in ts], "license string, template array<bigint>")
     # Bounded by the templates: bands rows each, and their shingles.
     pairs = met.join(F.broadcast(table), ["width", "band", "least"]).join(F.broadcast(grams), "license")
     n = F.size(F.array_intersect("grams", "template"))
-    pairs = pairs.select("doc_id", "license", "start", n.cast("long").alias("n_found"), F.size("template").cast("long").alias("n_shingles"))
+    pairs = pairs.select("doc_id", "own", "license", "start", n.cast("long").alias("n_found"), F.size("template").cast("long").alias("n_shingles"))
     pairs = pairs.where(F.col("n_found") >= F.lit(contained) * F.col("n_shingles"))
     best = F.max_by(F.struct("n_found", "start"), F.struct("n_found", -F.col("start")))
-    out = pairs.groupBy("doc_id", "license").agg(best.alias("best"), F.max("n_shingles").alias("n_shingles"))
+    out = pairs.groupBy("doc_id", "own", "license").agg(best.alias("best"), F.max("n_shingles").alias("n_shingles"))
     return out.select("doc_id", "license", "best.n_found", "n_shingles", F.col("best.start").cast("long").alias("first_word"))

@@ -41,3 +41,10 @@ def test_scan(spark):
     assert all(r.n_found >= 0.75 * r.n_shingles for r in got)
     assert {r.license for r in got} == set(licenses.TEMPLATES)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_rows_without_a_doc_id_are_their_own(spark):
+    isc = licenses.TEMPLATES["ISC"]
+    rows = [(None, isc), (None, isc), (None, "other words before it " + isc), (8, isc), (8, isc + " and after it"), (8, "none")]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, own int, grams int, w int").repartition(3)
+    assert sorted((str(r.doc_id), r.license) for r in licenses.scan_licenses(df).collect()) == [("8", "ISC")] * 2 + [("None", "ISC")] * 2
