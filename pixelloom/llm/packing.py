@@ -1,7 +1,8 @@
 """Best-fit packing of token pieces, after a Martello-Toth dominance reduction.
 
-1. Tokens: each text is encoded chunk by white-space chunk (the tokenizer drops white space,
-   so tokens never cross it); a chunk's ids are remembered per worker, in a bounded memory.
+1. Tokens: a few megabytes of text at a time are cut at white space (the tokenizer drops it,
+   so tokens never cross it); each distinct chunk is encoded once, and its ids are remembered per
+   worker, in a bounded memory.
 2. Pieces: documents above the capacity are cut; whole pieces are sequences of their own.
 3. The other pieces are dealt to shards of about ``SHARD_PIECES`` (many enough that the last,
    partly empty sequence of a shard does not matter).
@@ -22,101 +23,139 @@ import os
 import re
 import zlib
 from bisect import bisect_left, bisect_right
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import staged
-
-CAPACITY, SHARD_PIECES, CACHE = 2048, 60_000, 900_000
+from pixelloom.llm.common import spans_of_bytes, staged
 
+CAPACITY, SHARD_PIECES = 2048, 60_000
+#: Bounds of a worker's memory of chunks: how many, their ids, and the bytes of text that are looked up at once.
+CACHE, CACHE_IDS, SPAN = 500_000, 3_000_000, 4 << 20
 
 #: Visible characters of Latin-1.
 PLAIN = re.compile(r"[!-~\xa1-\xff]+").fullmatch
 #: Fixed value: the tokenizer's split pattern, written out for lower-cased Latin-1.
 PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb2\xb3\xb5\xb9\xba\xbc-\xbe\xdf-\xf6\xf8-\xff]+").findall
+#: Fixed value: how this vocabulary marks the last token of a word.
+WORD_END = "</w>"
+
 
+def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``starts``, one after the other."""
+    ends = np.cumsum(counts)
+    return ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
-class _ChunkIds(dict):
-    """Little-endian 32-bit ids of a chunk without white space.
+
+class _ChunkIds:
+    """Ids of chunks without white space, one after the other in ``tokens``, by ``starts`` and ``counts``.
 
     The tokenizer lower-cases and then splits a chunk into letters, single digits and other
-    signs, which are encoded each by itself. For chunks within Latin-1, where its normal form
-    changes nothing else, the same is done here, so that "Word," and "word" share a piece.
+    signs; the last token of each is marked. So chunks within Latin-1, where its normal form changes
+    nothing else, are split here and go to its merges many in one text, and the marks tell them apart again.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.pieces: dict[str, bytes] = {}
-
-    def fill(self, chunks: set[str]) -> None:
-        """Learns the chunks that are not known: those of plain letters from their pieces."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > CACHE:
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.split):
+            t.no_truncation()
+            t.no_padding()
+        self.split.normalizer = normalizers.Sequence([])
+        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
+        self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.tokens, self.counts, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def places(self, chunks: list[str]) -> np.ndarray:
+        """Where ``counts`` and ``starts`` have each of the distinct chunks."""
+        new = [c for c in chunks if c not in self.place]
+        if len(self.place) + len(new) > CACHE or len(self.tokens) > CACHE_IDS:
             self.clear()
-            new = list(chunks)
-        split, whole = {}, []
-        for c in new:
-            if PLAIN(c) and "<|" not in c:
-                split[c] = PIECES(c.lower())
-            else:
-                whole.append(c)
-        for c, data in zip(whole, self._encode(whole), strict=True):
-            self[c] = data
-        wanted = set().union(*split.values())
-        fresh = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > CACHE:
-            self.pieces.clear()
-            fresh = list(wanted)
-        self.pieces.update(zip(fresh, self._encode(fresh), strict=True))
-        known = self.pieces.__getitem__
-        for c, parts in split.items():
-            self[c] = known(parts[0]) if len(parts) == 1 else b"".join(map(known, parts))
-
-    def _encode(self, texts: list[str]):
-        for lo in range(0, len(texts), 4096):
-            for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 4096], add_special_tokens=False):
-                yield np.array(e.ids, "<u4").tobytes()
+            new = chunks
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+
+    def _learn(self, new: list[str]) -> None:
+        plain = [c for c in new if PLAIN(c) and "<|" not in c]
+        known = set(plain)
+        whole = [c for c in new if c not in known]
+        found = [self._together(plain)] if plain else []
+        found += [self._each(whole[lo : lo + 8192]) for lo in range(0, len(whole), 8192)]
+        counts = np.concatenate([n for _, n in found])
+        starts = len(self.tokens) + np.cumsum(counts) - counts
+        self.place.update(zip(plain + whole, range(len(self.place), len(self.place) + len(new)), strict=True))
+        self.tokens = np.concatenate([self.tokens, *(x for x, _ in found)])
+        self.counts, self.starts = np.concatenate([self.counts, counts]), np.concatenate([self.starts, starts])
+
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The chunks' ids one after the other, and how many each has; each distinct piece is merged once."""
+        split = list(map(PIECES, " ".join(chunks).lower().split(" ")))
+        pieces = list(chain.from_iterable(split))
+        number = dict(zip(dict.fromkeys(pieces), count()))
+        distinct = list(number)
+        ids = []
+        for lo in range(0, len(distinct), 16_384):
+            texts = [" ".join(distinct[i : i + 256]) for i in range(lo, min(len(distinct), lo + 16_384), 256)]
+            ids += [np.array(e.ids, np.uint32) for e in self.split.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate(ids)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(distinct):  # a vocabulary without such marks
+            return self._each(chunks)
+        sizes = np.diff(ends, prepend=0)
+        at = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        first = np.cumsum([0, *map(len, split)])[:-1]
+        return _gather(ids, ends[at] - sizes[at], sizes[at]), np.add.reduceat(sizes[at], first)
+
+    def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.array([x for own in ids for x in own], np.uint32), np.array([len(own) for own in ids], np.int64)
 
 
 _known: dict[str, _ChunkIds] = {}
 
 
+def token_ids(texts: pa.Array, path: str):
+    """Ids of each text, in order; a null text has none."""
+    ids = _known.get(path) or _known.setdefault(path, _ChunkIds(path))
+    for lo, hi in spans_of_bytes(texts, SPAN):
+        part = pc.replace_substring(pc.replace_substring(texts.slice(lo, hi - lo).fill_null(""), "\n", " "), "\t", " ")
+        split = pc.split_pattern(part, " ")
+        coded = split.flatten().dictionary_encode()
+        at = ids.places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        counts = ids.counts[at]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        tokens = _gather(ids.tokens, ids.starts[at], counts)
+        cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield tokens[a:b]
+
+
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit bytes."""
-    ids = _known.get(path) or _known.setdefault(path, _ChunkIds(path))
-    out, lo = [], 0
-    while lo < len(texts):  # so many texts at a time that their chunks fit the memory
-        split, hi, n = [], lo, 0
-        while hi < len(texts) and n < 200_000:
-            split.append((texts[hi] or "").replace("\n", " ").replace("\t", " ").split(" "))
-            n += len(split[-1])
-            hi += 1
-        ids.fill(set().union(*split))
-        out += [b"".join(map(ids.__getitem__, s)) for s in split]
-        lo = hi
-    return out
+    return [x.astype("<u4").tobytes() for x in token_ids(pa.array(texts, pa.string()), path)]
 
 
 def _cut(path: str, capacity: int, end_id: int):
-    end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
-
     def run(batches):
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for doc, data in zip(b.column(0).to_pylist(), token_bytes(b.column(1).to_pylist(), path), strict=True):
-                data += end
-                for k, lo in enumerate(range(0, len(data), step)):
-                    part = data[lo : lo + step]
-                    for col, v in zip(rows, (doc, k, lo // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+            for doc, ids in zip(b.column(0).to_pylist(), token_ids(b.column(1), path), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                for k, lo in enumerate(range(0, len(ids), capacity)):
+                    part = ids[lo : lo + capacity]
+                    for col, v in zip(rows, (doc, k, lo, len(part), zlib.crc32(part)), strict=True):
                         col.append(v)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
