@@ -25,10 +25,16 @@ def canvas(rois: DataFrame) -> DataFrame:
 LOCAL_ROWS = 100_000
 
 
-def local(regions: DataFrame) -> DataFrame:
-    """A table of one row a region, computed once: every use of it is then a small local table."""
+def local(regions: DataFrame, send: bool = False) -> DataFrame:
+    """A table of one row a region, computed once: every use of it is then a small local table.
+
+    With ``send`` it has a broadcast hint as well. A table that is too large stays as it is, without one.
+    """
     rows = regions.limit(LOCAL_ROWS + 1).collect()
-    return regions if len(rows) > LOCAL_ROWS else regions.sparkSession.createDataFrame(rows, regions.schema)
+    if len(rows) > LOCAL_ROWS:
+        return regions
+    held = regions.sparkSession.createDataFrame(rows, regions.schema)
+    return F.broadcast(held) if send else held
 
 
 def translate(rois: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -114,7 +120,7 @@ def in_panorama(rois: DataFrame, panoramas: DataFrame, on: list[str] | None = No
 
     ``panoramas`` are rows of ``panorama_bounds``, a handful a slide: sent to all tasks as a local table.
     """
-    p = F.broadcast(local(panoramas))
+    p = local(panoramas, send=True)
     met = rois.join(p, on) if on else rois.crossJoin(p)
 
     def pixel(q):

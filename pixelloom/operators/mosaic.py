@@ -83,7 +83,7 @@ def resample(cells: DataFrame, placed: DataFrame) -> DataFrame:
 
     c = cells.join(placed.select("roi_id", "same_pitch", "max_x", "max_y", "h_new", "w_new"), "roi_id")
     c = c.withColumns({k: F.when(~F.col("same_pitch"), F.col(k)) for k in ("max_y", "max_x")})  # null: no weights to meet
-    c = c.join(F.broadcast(local(weights("y", "max_y", "h_new"))), ["max_y", "h_new", "y"], "left").join(F.broadcast(local(weights("x", "max_x", "w_new"))), ["max_x", "w_new", "x"], "left")
+    c = c.join(local(weights("y", "max_y", "h_new"), send=True), ["max_y", "h_new", "y"], "left").join(local(weights("x", "max_x", "w_new"), send=True), ["max_x", "w_new", "x"], "left")
     own = lambda axis: F.coalesce(f"to_{axis}", F.when(F.col("same_pitch"), F.array(F.struct(F.col(axis).cast("long").alias("to"), F.lit(1.0).alias("w")))))
     c = c.select("roi_id", "ch", "v", F.explode(own("y")).alias("ty"), own("x").alias("tx")).select("roi_id", "ch", "v", "ty", F.explode("tx").alias("tx"))
     return c.groupBy("roi_id", "ch", F.col("ty.to").alias("y"), F.col("tx.to").alias("x")).agg(F.sum(F.col("v").cast("double") * F.col("ty.w") * F.col("tx.w")).alias("v"))

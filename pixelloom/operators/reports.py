@@ -99,7 +99,7 @@ def roi_map_lines(panoramas: DataFrame, rois: DataFrame, canvas: DataFrame | Non
     come first. ``canvas`` (one row) adds the stitched canvas.
     """
     keys = ["flat_ix"]
-    p = geometry.local(panoramas)  # a handful a file
+    p = geometry.local(panoramas, send=True)  # a handful a file
 
     def pixel(label: Column, x: Column, y: Column, digits: int) -> Column:
         px, py = geometry.slide_to_panorama(x, y)
@@ -119,7 +119,7 @@ def roi_map_lines(panoramas: DataFrame, rois: DataFrame, canvas: DataFrame | Non
         parts.append(_numbered(c, 0, F.lit(0), F.array(*lines), keys))
     if individual or canvas is None:
         parts.append(_numbered(p, 1, F.lit(0), F.array(*head("individual")), keys))
-        r = rois.select("sel_ord", scalars.map_name(F.col("description"), F.col("sel_ord")).alias("name"), "width", "height", "px_x", "px_y", F.col("corners").alias("points")).crossJoin(F.broadcast(p))
+        r = rois.select("sel_ord", scalars.map_name(F.col("description"), F.col("sel_ord")).alias("name"), "width", "height", "px_x", "px_y", F.col("corners").alias("points")).crossJoin(p)
         labels = F.array(*(F.lit(f"    {c}") for c in CORNERS))
         corners = F.transform(F.slice("points", 1, 4), lambda q, i: pixel(F.get(labels, i), q["x"], q["y"], 1))
         about = F.array(_line("region", F.col("name")), _line("dimensions", F.col("width"), F.col("height")), _line("pixel", fixed(F.col("px_x"), 4), fixed(F.col("px_y"), 4)), F.lit(MAP_LINES["corners"]))

@@ -439,7 +439,7 @@ spots AS (SELECT s.sel_ord, pos, p.k, (c.x - x1) * (side / (x2 - x1)) AS px, (y2
 tops AS (SELECT k, unnest(['Stitched-ROIs to Panorama Mapping', repeat('=', 40), '', 'stitched_canvas_pixels: ' || CAST(ceil((bx - ax) / g) AS BIGINT) || ' x ' || CAST(ceil((b_y - ay) / g) AS BIGINT),
   format('stitched_canvas_slide_um: x_min={{:.3f}} x_max={{:.3f}} y_min={{:.3f}} y_max={{:.3f}}', ax, bx, ay, b_y), 'panorama_pixels: ' || side || ' x ' || side, format('panorama_slide_um: x_min={{:.1f}} x_max={{:.1f}} y_min={{:.1f}} y_max={{:.1f}}', x1, x2, y1, y2), '', 'corner_mapping (stitched corner -> panorama pixel):']) AS text, unnest(range(9)) AS line FROM p, c),
 heads AS (SELECT k, unnest(['Individual-ROIs to Panorama Mapping', repeat('=', 40), '']) AS text, unnest(range(3)) AS line FROM p),
-abouts AS (SELECT k, sel_ord, unnest(['--- ' || trim(s.description) || ' ---', '  Dimensions: ' || w || 'x' || h || ' px', format('  Pixel size: {{:.4f}} x {{:.4f}} um', s.px, s.px), '  Corners (panorama px):']) AS text, unnest(range(4)) AS line FROM sel s, p),
+abouts AS (SELECT k, sel_ord, unnest(['--- ' || trim(s.description) || ' ---', '  Dimensions: ' || w || 'x' || h || ' px', format('  Pixel size: {{:.4f}} x {{:.4f}} um', s.px, s.px / 2), '  Corners (panorama px):']) AS text, unnest(range(4)) AS line FROM sel s, p),
 many AS (SELECT sel_ord, least(4, count(*)) AS n FROM sel JOIN corners USING (roi_id) GROUP BY 1)
 SELECT k::BIGINT AS flat_ix, 0::BIGINT AS section, 0::BIGINT AS block, line::BIGINT AS line, text FROM tops
 UNION ALL SELECT k, 0, 0, 8 + i, format('  {{}}: {{:.3f}}, {{:.3f}}', {_CORNER.format(i="i")}, (cx - x1) * (side / (x2 - x1)), (y2 - cy) * (side / (y2 - y1))) FROM ends
@@ -451,7 +451,7 @@ UNION ALL SELECT k, 2, -sel_ord, 4 + n, '' FROM many, p"""
 )
 def q_roi_map(spark, sf_dir):
     """The map files of two panoramas, with the stitched canvas and every region, line by line."""
-    rois = catalog.select_rois(_rois_df(spark, sf_dir, True), SELECTION)
+    rois = catalog.select_rois(_rois_df(spark, sf_dir, True), SELECTION).withColumn("px_y", F.col("px_y") / 2)  # the map's pitch is the one over x
     panoramas = geometry.panorama_bounds(catalog.flatten_panoramas(B.panoramas(spark, sf_dir)).where("flat_ix in (0, 3)"))
     return longs(reports.roi_map_lines(panoramas, rois, reports.map_canvas(rois)).select("flat_ix", "section", "block", "line", "text"), "flat_ix", "section", "block", "line")
 

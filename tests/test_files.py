@@ -302,6 +302,29 @@ def test_process_and_subset(spark, container, tmp_path, capsys):
         api.subset_file(folder / "roi0.ome.tiff", tmp_path / "x.ome.tiff", "all", None, "uint16")
 
 
+def test_process_skips_what_it_cannot_open(spark, container, tmp_path, capsys):
+    path, model = container
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for name in ("good", "empty", "bare", "broken"):
+        (folder / f"{name}.mcd").write_bytes(path.read_bytes())
+    raw = json.loads(path.with_suffix(".json").read_text())
+    (folder / "good.json").write_text(json.dumps(raw))
+    (folder / "empty.json").write_text(json.dumps({"slides": []}))
+    (folder / "broken.json").write_text("{")
+    api.process(folder, tmp_path / "out", stitch_rois=True, roi_map="0,1", panorama="0")
+    text = capsys.readouterr().out
+    assert "bare.mcd: skipped" in text and "broken.mcd: skipped" in text and "No ROIs found in empty.mcd" in text and "Containers: 4" in text
+    assert "stitching 3 regions ..." in text and "All containers:" in text and "Could not read panorama 1" in text
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.tiff")) == ["good_stitched.ome.tiff"]
+    got, _ = planes(tmp_path / "out/good/good_stitched.ome.tiff")
+    assert (got == model.mosaic("uint16", [2, 1, 0])).all()
+    # A picture that is there already tells a panorama's size.
+    (tmp_path / "out/good/good_slide_0_pano_0.png").write_bytes(png.write_png(np.zeros((10, 80, 1), np.uint8)))
+    api.process(folder / "good.mcd", tmp_path / "out", stitch_rois=True, roi_map="all")
+    assert "panorama_pixels: 80 x 10" in (tmp_path / "out/good/good_slide_0_pano_0_roi_map.txt").read_text()
+
+
 def test_command_lines(spark, container, tmp_path, capsys):
     path, _ = container
     assert cli.main(["stitch", "-r", "0,1", str(path), str(tmp_path / "c")]) == 0 and (tmp_path / "c/slide_stitched.ome.tiff").exists()
