@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import in_arrow
+
 
 @dataclass(frozen=True)
 class ChatTemplate:
@@ -105,7 +107,7 @@ def format_chat(rows: DataFrame, template: ChatTemplate = ChatTemplate(), conv_i
     """
     own = rows.select(F.col(conv_id).cast("long").alias("c"), F.col(turn).alias("n"), F.col(role).alias("r"), F.col(text).alias("t"))
     ordered = own.repartition("c").sortWithinPartitions("c", "n", "r", "t").select("c", "r", "t")
-    return ordered.mapInArrow(_format(template), "conv_id long, segment long, text string, loss boolean, accepted boolean")
+    return in_arrow(ordered, _format(template), "conv_id long, segment long, text string, loss boolean, accepted boolean")
 
 
 class _Reader:
@@ -162,4 +164,4 @@ def read_back(segments: DataFrame, template: ChatTemplate = ChatTemplate()) -> D
 
     ``turns_sha256`` is that of role, line end, text, line end of each turn.
     """
-    return segments.mapInArrow(_read_back(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return in_arrow(segments, _read_back(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import partitions, spans_of_bytes, staged
+from pixelloom.llm.common import in_arrow, partitions, settled, small, spans_of_bytes, staged
 from pixelloom.llm.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -51,8 +51,6 @@ HASHES = 8
 WIDE = 64
 #: Entries of the rows in a block, and of those that stream past it in one task.
 BLOCK_COLUMNS = 1_000_000
-#: Above so many rows a small side is no longer broadcast but shuffled.
-BROADCAST_ROWS = 1_000_000
 _U = np.uint64
 _MULTIPLIERS = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
@@ -154,7 +152,7 @@ def _merge_counts(least: int):
 def heavy_columns(docs: DataFrame, text: str, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent column keys, sorted, with their places in the order (rarest first)."""
     ranges = 4 * max(8, partitions(docs.sparkSession))
-    packed = docs.select(text).mapInArrow(_count_keys(ranges, n), "part int, keys binary, counts binary")
+    packed = in_arrow(docs.select(text), _count_keys(ranges, n), "part int, keys binary, counts binary")
     counted = packed.groupBy("part").applyInArrow(_merge_counts(HEAVY), "key long, count long")
     top = counted.orderBy(F.desc("count"), "key").limit(MAX_HEAVY).toArrow()
     keys, counts = top["key"].to_numpy().astype(np.uint64), top["count"].to_numpy()
@@ -229,11 +227,6 @@ def _own_sets(n: int):
     return run
 
 
-def small(df: DataFrame) -> DataFrame:
-    """``df`` (a staged table) with a broadcast hint if its row count allows; else as it is, to be shuffled."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 class _Block:
     """Rows held by column; overlap counts of another row with all of them at once."""
 
@@ -302,7 +295,7 @@ def row_links(roles: DataFrame, members: DataFrame, nodes: DataFrame, docs: Data
     large = met.groupBy("block", "kind").agg(*(F.ceil(F.sum(F.when(F.col("stream") == k, F.col("size"))) / BLOCK_COLUMNS).cast("int").alias(c) for c, k in (("pieces", False), ("streams", True))))
     large = small(staged(large.where("pieces > 1 or streams > 1"), "large"))
     wanted = met.select("node").distinct().join(nodes.select("node", "doc_id"), "node")
-    sets = docs.join(small(staged(wanted, "wanted")), "doc_id").select("node", "text").mapInArrow(_own_sets(n), "node long, grams binary")
+    sets = in_arrow(docs.join(small(staged(wanted, "wanted")), "doc_id").select("node", "text"), _own_sets(n), "node long, grams binary")
     met = met.join(large, ["block", "kind"], "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("pieces", "streams")})
     # A block's row is in one piece and meets all parts of the stream; a row of the stream the reverse.
     other = F.when(F.col("stream"), F.col("pieces")).otherwise(F.col("streams"))
@@ -311,7 +304,7 @@ def row_links(roles: DataFrame, members: DataFrame, nodes: DataFrame, docs: Data
     part = F.struct("block", "kind", F.when(F.col("stream"), F.col("other")).otherwise(F.col("own")).alias("piece"), F.when(F.col("stream"), F.col("own")).otherwise(F.col("other")).alias("salt"))
     dealt = met.select(part.alias("part"), "stream", "class", "node").join(sets, "node").select("part", "stream", "class", "grams")
     dealt = dealt.repartition(max(8, partitions(docs.sparkSession)), "part").sortWithinPartitions("part", "stream")
-    return dealt.mapInArrow(_row_products, "a long, b long")
+    return in_arrow(dealt, _row_products, "a long, b long")
 
 
 def _bucket(a: np.ndarray, b: np.ndarray, buckets: int) -> np.ndarray:
@@ -480,7 +473,7 @@ def _sign(n: int):
 def with_signature(docs: DataFrame, text: str = "text", n: int = WORDS) -> DataFrame:
     """Each row as a struct ``row``, with the signature of its set as ``node``."""
     own = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return own.mapInArrow(_sign(n), f"row {own.schema['row'].dataType.simpleString()}, node long")
+    return in_arrow(own, _sign(n), f"row {own.schema['row'].dataType.simpleString()}, node long")
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
@@ -488,15 +481,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return row_classes(docs, doc_id, text, n).select("doc_id", "n_shingles", "component_id")
 
 
-def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
-    """As ``jaccard_classes``, with ``node``, the signature of the row's set, and ``class``, which names its component's rows alone.
-
-    Two components can have one component_id where rows repeat a doc_id. Empty sets are 0 in both.
-    """
-    spark = docs.sparkSession
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    heavy = spark.sparkContext.broadcast(heavy_columns(own, "text", n))
-    rows = staged(own.mapInArrow(_describe(heavy, n), "doc_id long, node long, size int, rare int, mins array<long>, prefix array<long>"), "sets")
+def _node_classes(rows: DataFrame, own: DataFrame, n: int) -> DataFrame:
+    """node, class and the least doc_id of the class, from the described rows and their texts (doc_id, text)."""
+    spark = rows.sparkSession
     known = rows.where("size > 0 and doc_id is not null")
     # Copies are one row from here on, so that a large family of them is no hot column.
     nodes = staged(known.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("size", "rare", "mins", "prefix"))), "nodes")
@@ -509,8 +496,8 @@ def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     star = staged(votes.groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader")), "stars")
     own_class = nodes.select(F.col("node").alias("class"), "node", "size")
     block = lambda c, stream: star.select(F.col("leader").alias("block"), F.lit(0).alias("kind"), F.lit(stream).alias("stream"), F.col(c).alias("class"))
-    first = staged(row_links(block("leader", False).distinct().unionByName(block("node", True)), own_class, nodes, own, n), "links")
-    found = staged(components(first), "components")
+    first = settled(spark, lambda: row_links(block("leader", False).distinct().unionByName(block("node", True)), own_class, nodes, own, n), "links")
+    found = settled(spark, lambda: components(first), "components")
 
     # Product of prefixes: components are the rows. A row's leader is the class of the one that its node chose.
     bounds = nodes.join(found, "node").groupBy("component").agg(F.min("size").alias("low"), F.max("size").alias("high"))
@@ -522,16 +509,28 @@ def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     entries = entry(entries.where("component is null")).unionByName(entry(entries.where("component is not null")).distinct())
     parts = max(8, partitions(spark))
     sorted_ = entries.repartition(parts, "column").sortWithinPartitions("column", "class")
-    products = staged(sorted_.mapInArrow(_product(8 * parts, WIDE), "family boolean, key long, salt int, data binary"), "products")
+    products = staged(in_arrow(sorted_, _product(8 * parts, WIDE), "family boolean, key long, salt int, data binary"), "products")
 
     # Product of whole rows: what the prefixes have left.
     members = staged(nodes.join(found, "node", "left").select(F.coalesce("component", "node").alias("class"), "node", "size"), "members")
-    rest = staged(row_links(_roles(products, members), members, nodes, own, n), "links")
-    classes = staged(components(first.unionByName(rest)), "components")
+    rest = settled(spark, lambda: row_links(_roles(products, members), members, nodes, own, n), "links")
+    classes = settled(spark, lambda: components(first.unionByName(rest)), "components")
 
     named = staged(nodes.join(classes, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("class")), "named")
     least = staged(named.groupBy("class").agg(F.min("doc_id").alias("least")), "least")
-    named = staged(named.join(least, "class").select("node", "class", "least"), "named")
+    return named.join(least, "class").select("node", "class", "least")
+
+
+def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = WORDS) -> DataFrame:
+    """As ``jaccard_classes``, with ``node``, the signature of the row's set, and ``class``, which names its component's rows alone.
+
+    Two components can have one component_id where rows repeat a doc_id. Empty sets are 0 in both.
+    """
+    spark = docs.sparkSession
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    heavy = spark.sparkContext.broadcast(heavy_columns(own, "text", n))
+    rows = staged(in_arrow(own, _describe(heavy, n), "doc_id long, node long, size int, rare int, mins array<long>, prefix array<long>"), "sets")
+    named = settled(spark, lambda: _node_classes(rows, own, n), "named")
     out = rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(named, "node", "left")
     own_id = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
     return out.select("doc_id", "node", F.coalesce("class", "node").alias("class"), "n_shingles", own_id.alias("component_id"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import SPACES, partitions, staged
+from pixelloom.llm.common import SPACES, in_arrow, partitions, staged
 
 MIN_CHARS, MIN_DOCS = 20, 3
 LEVELS, GAMMA = 24, 2.0
@@ -194,7 +194,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     """(id, own, low, high) for each doc_id, text key and line hash that its rows lose; ids may be null."""
     spark = docs.sparkSession
     schema = "id long, own long, low long, high long"
-    lines = staged(docs.select(*_keyed(docs, doc_id, text)).mapInArrow(_hash_lines, schema), "lines")
+    lines = staged(in_arrow(docs.select(*_keyed(docs, doc_id, text)), _hash_lines, schema), "lines")
     known = lines.where("id is not null").groupBy("low", "high").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("holder")).where("docs >= 2")
     known = staged(known, "known")
     n = max(8, partitions(spark))
@@ -209,7 +209,7 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     probes = probes.select("shard", F.pmod(F.xxhash64("id", "own", F.lit(2)), F.col("salts")).cast("int").alias("salt"), F.lit(None).cast("array<binary>").alias("parts"), "id", "own", "low", "high", F.lit(1).alias("kind"))
     both = blobs.unionByName(probes).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     both = both.select((F.col("shard").cast("long") * 2**32 + F.col("salt")).alias("copy"), "parts", "id", "own", "low", "high")
-    return both.mapInArrow(_probe(min_docs), schema)
+    return in_arrow(both, _probe(min_docs), schema)
 
 
 def _rewrite(batches):
@@ -235,4 +235,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     drops = drops.select(F.col("id").alias("d_id"), F.col("own").alias("d_own"), "drops")
     joined = own.join(drops, (own["own"] == F.col("d_own")) & own["id"].eqNullSafe(F.col("d_id")), "left").select("row", "text", "drops")
     kind = joined.schema["row"].dataType.simpleString()
-    return joined.mapInArrow(_rewrite, f"row {kind}, n_lines long, n_dropped long, kept string")
+    return in_arrow(joined, _rewrite, f"row {kind}, n_lines long, n_dropped long, kept string")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import in_arrow
+
 FRAME = 192  # bytes in a frame: 16 x 12 samples of 8 bits
 KEY_EVERY = 8
 MAX_DEPTH = 32
@@ -233,7 +235,7 @@ def media_columns(files: DataFrame, file_id: str, content: str) -> DataFrame:
     One row a track of container bytes; one row for a file without any that can be read.
     """
     schema = "id long, track int, codec string, duration double, n_samples long, keyframes array<struct<offset:bigint,size:bigint>>, status string, message string"
-    return files.select(F.col(file_id).cast("long"), F.col(content).cast("binary")).mapInArrow(_columns, schema)
+    return in_arrow(files.select(F.col(file_id).cast("long"), F.col(content).cast("binary")), _columns, schema)
 
 
 def _round_trip(batches):
@@ -253,6 +255,6 @@ def _round_trip(batches):
 
 def text_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text stored in a container and read back: sizes, digests and the media columns as ``feature``."""
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(
-        _round_trip, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return in_arrow(
+        docs.select(F.col(doc_id).cast("long"), text), _round_trip, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.common import spans_of_bytes, staged
+from pixelloom.llm.common import in_arrow, spans_of_bytes, staged
 
 CAPACITY, SHARD_PIECES = 2048, 60_000
 #: Bounds of a worker's memory of chunks: how many, their ids, and the bytes of text that are looked up at once.
@@ -63,12 +63,11 @@ class _ChunkIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.split = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.split):
-            t.no_truncation()
-            t.no_padding()
-        self.split.normalizer = normalizers.Sequence([])
-        self.split.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.own = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.plain = normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         self.last[[k for token, k in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
         self.clear()
@@ -108,7 +107,7 @@ class _ChunkIds:
         ids = []
         for lo in range(0, len(distinct), 16_384):
             texts = [" ".join(distinct[i : i + 256]) for i in range(lo, min(len(distinct), lo + 16_384), 256)]
-            ids += [np.array(e.ids, np.uint32) for e in self.split.encode_batch_fast(texts, add_special_tokens=False)]
+            ids += [np.array(x, np.uint32) for x in self._encode(texts, self.plain)]
         ids = np.concatenate(ids)
         ends = np.flatnonzero(self.last[ids]) + 1
         if len(ends) != len(distinct):  # a vocabulary without such marks
@@ -119,9 +118,14 @@ class _ChunkIds:
         return _gather(ids, ends[at] - sizes[at], sizes[at]), np.add.reduceat(sizes[at], first)
 
     def _each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        ids = self._encode(chunks, self.own)
         return np.array([x for own in ids for x in own], np.uint32), np.array([len(own) for own in ids], np.int64)
 
+    def _encode(self, texts: list[str], steps: tuple) -> list[list[int]]:
+        """Ids of texts, split by the tokenizer's own steps or at spaces alone."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
 
 _known: dict[str, _ChunkIds] = {}
 
@@ -165,7 +169,7 @@ def _cut(path: str, capacity: int, end_id: int):
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     own = docs.select(F.col(doc_id).cast("long"), text)
-    return own.mapInArrow(_cut(vocabulary, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return in_arrow(own, _cut(vocabulary, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class _Sizes:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import in_arrow
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -439,5 +441,5 @@ def _scan(tagger: Tagger):
 def find_pii(docs: DataFrame, tagger: Tagger | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, counts of base spans by kind, and ``base`` and all ``spans`` as kind:start:end lists."""
     tagger = tagger or trained()
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan(tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return in_arrow(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), _scan(tagger), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 

@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.common import in_arrow
+
 #: Fixed value: the published pre-token pattern of this byte-level vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 300_000
@@ -152,4 +154,4 @@ def _count(path: str, limit: int):
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for each document row. ``vocabulary``: path of the tokenizer's JSON file."""
-    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(_count(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return in_arrow(docs.select(F.col(doc_id).cast("long"), text), _count(vocabulary, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,5 +1,6 @@
 """The registered training-data queries: against SQL where there is some, and the pipeline's stages in order."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -7,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from pixelloom.llm import queries
+from pixelloom.llm.oracles import JACCARD, LINES, quality_sql
 from tests.compare import database, difference
 
 SF = "/root/testdata/sf0.001"
@@ -42,6 +44,27 @@ def test_pipeline_stages(spark):
     assert Counter(r.doc_id for r in pieces.where("piece = 0").collect()) == +want
 
 
+def test_stages_against_sql(spark):
+    """The first three stages, each held against SQL over what the one before kept."""
+    con, docs = database(SF), spark.read.parquet(f"{SF}/documents.parquet")
+
+    def rows(sql, table):
+        con.register("now", table)
+        con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM now")
+        return con.execute(sql).fetchall()
+
+    plain = lambda df: df.toPandas()
+    kept = {r[0] for r in rows(f"SELECT doc_id FROM ({quality_sql()}) WHERE kept", plain(docs))}
+    first = corpus_pipeline.quality_rules(spark, docs, SF).cache()
+    assert sorted(r.doc_id for r in first.collect()) == sorted(kept)
+    want = dict(rows(f"SELECT doc_id, kept_sha256 FROM ({LINES})", plain(first)))
+    second = corpus_pipeline.line_dedup(spark, first, SF).cache()
+    assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in second.collect()} == want
+    stay = rows(f"SELECT doc_id FROM ({JACCARD}) WHERE doc_id = component_id", plain(second))
+    third = corpus_pipeline.jaccard_join(spark, second, SF).collect()
+    assert sorted(r.doc_id for r in third) == sorted(r[0] for r in stay) and len(third) < len(want) < docs.count()
+
+
 def prose(seed, n=160):
     """Words of which none stands twice, with the common ones in their usual shares."""
     rng = random.Random(seed)

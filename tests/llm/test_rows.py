@@ -134,9 +134,10 @@ def test_token_counts(spark, docs):
     counter = tokencount.MergeCounter(path)
     for t in [*TEXTS, *real, "a b  c", "x \n y", " lead", "trail "]:
         assert counter.count(t or "") == len(tok.encode(t or "", add_special_tokens=False).ids), t
-    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(docs, path).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in tokencount.count_tokens(docs.withColumnRenamed("n_words", "n_tokens"), path).collect())
     want = Counter((r.doc_id, len((r.text or "").encode()), n := len(tok.encode(r.text or "", add_special_tokens=False).ids), n > 1024) for r in docs.collect())
     assert got == want
+    assert tokencount.count_tokens(docs.limit(0), path).count() == 0
 
 
 def test_media(spark, docs):
