@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelloom.llm import jaccard, linededup, mixing, packing, quality
-from pixelloom.llm.common import read_table, staged
+from pixelloom.llm.common import read_table, small, staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     judged = quality.quality(docs, keep=docs.columns).select("row", "kept")
     # Not deterministic for the optimizer, so that the filter stays above the counts; pushed
     # below them, it would hold each of their expressions many times over.
-    return judged.withColumn("kept", F.col("kept") & (F.rand(0) >= 0)).where("kept").select("row.*")
+    return judged.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     stay = staged(first.join(rows, "doc_id"), "stay")
     alone = docs.join(stay.where("rows = 1"), "doc_id", "left_semi").select(docs.columns)
     # Only where a doc_id repeats does a row need its signature to be told from the others.
-    several = jaccard.small(stay.where("rows > 1").select("doc_id", "node"))
+    several = small(stay.where("rows > 1").select("doc_id", "node"))
     again = jaccard.with_signature(docs.join(several, "doc_id", "left_semi").select(docs.columns))
     again = again.withColumn("doc_id", F.col("row.doc_id").cast("long")).join(several, ["doc_id", "node"], "left_semi")
     order = F.struct("row.text", *(F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind))
