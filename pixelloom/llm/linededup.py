@@ -7,8 +7,8 @@
    its bit) over three compact arrays: 64-bit fingerprints, counts and holders.
 4. Documents' hashes stream past their shard's arrays (the blob sorts first in its
    partition) and are probed in numpy; no line is joined with a line. A shard is replicated so
-   often that about ``SALT_PROBES`` hashes pass each copy: a line in a third of all documents is no
-   hot spot.
+   often that ``SALT_SHARE`` times as many hashes as it has lines pass each copy: a line in a
+   third of all documents is no hot spot, and copies stay a small part of what is dealt.
 5. The hashes to drop, a list per document and text, meet the texts.
 
 Memory: one shard, and one Arrow batch. Nothing is collected; the table of shards (a row each) is
@@ -32,7 +32,7 @@ from pixelloom.llm.common import SPACES, in_arrow, partitions, staged
 
 MIN_CHARS, MIN_DOCS = 20, 3
 LEVELS, GAMMA = 24, 2.0
-SHARD_LINES, SALT_PROBES, BROADCAST_SHARDS = 500_000, 1_000_000, 100_000
+SHARD_LINES, SALT_SHARE, LEAST_PROBES, BROADCAST_SHARDS = 500_000, 8, 1_000, 100_000
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -200,7 +200,10 @@ def dropped_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", m
     n = max(8, partitions(spark))
     shards = max(n, -(-known.count() // SHARD_LINES))
     shard = F.pmod(F.xxhash64("low", F.lit(1)), F.lit(shards)).cast("int")
-    salts = staged(lines.groupBy(shard.alias("shard")).agg(F.ceil(F.count("*") / SALT_PROBES).cast("int").alias("salts")), "salts")
+    sizes = known.groupBy(shard.alias("shard")).agg(F.count("*").alias("known"))
+    most = F.greatest(F.lit(LEAST_PROBES), SALT_SHARE * F.coalesce("known", F.lit(0)))
+    salts = lines.groupBy(shard.alias("shard")).agg(F.count("*").alias("probes")).join(sizes, "shard", "left")
+    salts = staged(salts.select("shard", F.ceil(F.col("probes") / most).cast("int").alias("salts")), "salts")
     salts = F.broadcast(salts) if shards <= BROADCAST_SHARDS else salts
     blobs = known.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, "shard int, parts array<binary>").join(salts, "shard")
     nothing = [F.lit(None).cast("long").alias(c) for c in ("id", "own", "low", "high")]

@@ -70,10 +70,10 @@ def test_quality_verdict(spark):
     assert abs(got - np.sqrt((kl(p) + kl(q)) / 2)) < 1e-12
 
 
-@pytest.mark.parametrize("most", [500_000, 2])
-def test_line_dedup(spark, docs, most, monkeypatch):
-    for name in ("SHARD_LINES", "SALT_PROBES"):
-        monkeypatch.setattr(linededup, name, most)
+@pytest.mark.parametrize(("lines", "share"), [(500_000, 8), (2, 1)])
+def test_line_dedup(spark, docs, lines, share, monkeypatch):
+    for name, value in (("SHARD_LINES", lines), ("SALT_SHARE", share), ("LEAST_PROBES", share)):
+        monkeypatch.setattr(linededup, name, value)
     clash = docs.select("doc_id", "text", *(F.lit(k).alias(c) for k, c in enumerate(("id", "own", "low", "high", "kept", "drops", "parts", "n_lines", "row", "shard"))))
     result = linededup.dedup_lines(clash, keep=clash.columns).collect()
     assert all(r.row.low == 2 and r.row.row == 8 for r in result)
