@@ -12,7 +12,7 @@ from pixelloom.llm.common import settled, staged
 def _neighbours_to_least(edges: DataFrame, larger_only: bool, few: bool) -> DataFrame:
     """Links every neighbour of u (only those above u, if so) to the least of u and its neighbours.
 
-    A node with very many neighbours is no hot key: the least ones are broadcast where there are ``few``,
+    A node with very many neighbours is no hot key: the least ones are broadcast where there are ``few`` edges,
     else they are a table of their own, and the join of two written tables is split where it is skewed.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,10 +32,12 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
 
     def turn(now: DataFrame, few: bool) -> DataFrame:
-        held = lambda df, tag: df if few else staged(df, tag)
+        # Few edges, by their count, are one partition, which needs no shuffle.
+        held = lambda df, tag: df.coalesce(1) if few else staged(df, tag)
         both = held(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
         large = held(_neighbours_to_least(both, True, few).where("u != v").distinct(), "large")
-        return _neighbours_to_least(large, False, few).where("u != v").distinct()
+        now = _neighbours_to_least(large, False, few).where("u != v")
+        return (now.coalesce(1) if few else now).distinct()
 
     now = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     state, count = None, now.count()

@@ -530,6 +530,7 @@ def row_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n:
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     heavy = spark.sparkContext.broadcast(heavy_columns(own, "text", n))
     rows = staged(in_arrow(own, _describe(heavy, n), "doc_id long, node long, size int, rare int, mins array<long>, prefix array<long>"), "sets")
+    heavy.unpersist()
     named = settled(spark, lambda: _node_classes(rows, own, n), "named")
     out = rows.select("doc_id", "node", F.col("size").cast("long").alias("n_shingles")).join(named, "node", "left")
     own_id = F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("least"))
