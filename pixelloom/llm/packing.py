@@ -51,6 +51,13 @@ def _gather(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarr
     return ids[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class _Places(dict):
+    """Places by chunk; -1 for those that are not known."""
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
+
+
 class _ChunkIds:
     """Ids of chunks without white space, one after the other in ``tokens``, by ``starts`` and ``counts``.
 
@@ -73,18 +80,21 @@ class _ChunkIds:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = _Places()
         self.tokens, self.counts, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def places(self, chunks: list[str]) -> np.ndarray:
         """Where ``counts`` and ``starts`` have each of the distinct chunks."""
-        new = [c for c in chunks if c not in self.place]
+        at = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        new = np.flatnonzero(at < 0)
         if len(self.place) + len(new) > CACHE or len(self.tokens) > CACHE_IDS:
             self.clear()
-            new = chunks
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+            new = np.arange(len(chunks))
+        if len(new):
+            names = [chunks[k] for k in new.tolist()]
+            self._learn(names)
+            at[new] = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))
+        return at
 
     def _learn(self, new: list[str]) -> None:
         plain = [c for c in new if PLAIN(c) and "<|" not in c]
