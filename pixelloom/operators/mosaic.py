@@ -32,7 +32,7 @@ def unpivot(wide: DataFrame) -> DataFrame:
 def scatter(records: DataFrame) -> DataFrame:
     """Cells (roi_id, ch, y, x, v): the record of the highest ordinal wins its cell.
 
-    max_by over a bigint is a hash aggregate with map-side combine.
+    max_by over a bigint or a decimal is a hash aggregate with map-side combine.
     """
     return records.groupBy(*KEY).agg(F.max_by("v", "rec_ord").alias("v"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +38,32 @@ def acquisitions(spark: SparkSession, sf_dir: str, mixed_pitch: bool = False) ->
     return d.withColumns({"corners": corners, "px_y": F.col("px_x"), "width": w, "height": h, "max_x": w, "max_y": h, "channel_labels": labels, "num_channels": F.lit(N_CHANNELS)})
 
 
+def ordinal(lineitem: DataFrame) -> Column:
+    """A record's ordinal: order key * 10^13 + part key * 10^8 + price in cents.
+
+    It is a bigint, as in SQL, where every row's sum is one with all its parts; else a decimal, which holds the
+    same number. A row whose terms are all within a quarter of the range is never looked at: the comparisons
+    with columns are pushed down, so that files of small keys are skipped by their statistics.
+    """
+    order, part, price = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_extendedprice")
+    cents = F.round(price * 100).cast("long")
+    beyond = lambda c, most: (c > most) | (c < -most)
+    large = beyond(order, 2**61 // 10**13) | beyond(part, 2**61 // 10**8) | beyond(price, 2.0**61 / 100)
+    by_order, by_part = order.cast("decimal(20,0)") * Decimal(10**13), part.cast("decimal(20,0)") * Decimal(10**8)
+    whole = (by_order + by_part + cents.cast("decimal(20,0)")).cast("decimal(38,0)")
+    fits = lambda c: c.between(-(2**63), 2**63 - 1)
+    if lineitem.where(large & ~(fits(by_order) & fits(by_part) & fits(by_order + by_part) & fits(whole))).take(1):
+        return whole
+    return order * 10**13 + part * 10**8 + cents
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long pixel records; both scans read only the columns named here."""
+    """Long pixel records; the scans read only the columns named here."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
     su = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("int").alias("roi_id"))
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return li.join(su, "l_suppkey").select(
         "roi_id", (F.col("l_linenumber") - 1).cast("int").alias("ch"), (F.col("l_partkey") % 42).cast("int").alias("x"), (F.col("l_orderkey") % 31).cast("int").alias("y"),
-        (F.col("l_extendedprice") - 2000).alias("v"), (F.col("l_orderkey") * 10**13 + F.col("l_partkey") * 10**8 + cents).alias("rec_ord"),
+        (F.col("l_extendedprice") - 2000).alias("v"), ordinal(li).alias("rec_ord"),
     )
 
 
