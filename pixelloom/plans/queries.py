@@ -373,10 +373,13 @@ def q_catalog_ties(spark, sf_dir):
 @query(f"""WITH {_rois()}, {_RECORDS} SELECT r.roi_id::BIGINT AS roi_id, r.ch::BIGINT AS ch, r.y::BIGINT AS y, r.x::BIGINT AS x, rec_ord::BIGINT AS rec_ord FROM records r JOIN rois USING (roi_id) WHERE x < w AND y < h AND rec_ord % 7 > 3""")
 def q_bounds_odd(spark, sf_dir):
     """Coordinates that are NaN, infinite or beyond any integer are outside; fractions are truncated toward zero."""
-    k = F.col("rec_ord") % 7
+    # By place, so that the remainder is taken once a coordinate; what has no place keeps its own.
+    k = (F.col("rec_ord") % 7).cast("int")
     number = lambda s: F.lit(s).cast("double")
-    x = F.when(k == 0, number("NaN")).when(k == 1, number("Infinity")).when(k == 2, -1e300).otherwise(F.col("x") + F.when(k == 4, 0.9).otherwise(0.0))
-    y = F.when(k == 3, -1e12).otherwise(F.when((k == 5) & (F.col("y") == 0), -0.9).otherwise(F.col("y").cast("double")))
+    at = lambda own, *places: F.coalesce(F.get(F.array(*places), k), own)
+    x, y, none = F.col("x").cast("double"), F.col("y").cast("double"), number(None)
+    x = at(x, number("NaN"), number("Infinity"), number(-1e300), none, x + 0.9)
+    y = at(y, none, none, none, number(-1e12), none, F.when(y == 0, -0.9))
     records = B.records(spark, sf_dir).withColumns({"x": x, "y": y})
     return longs(mosaic.in_bounds(records, _rois_df(spark, sf_dir)).select("roi_id", "ch", "y", "x", "rec_ord"), "roi_id", "ch", "y", "x")
 
