@@ -32,7 +32,7 @@ def test_every_region_is_densified(spark):
 
 
 #: Queries over records. ``shifted`` has ordinals that no bigint holds, so the SQL overflows unless they are widened.
-BY_ORDINAL = ["q_bounds_filter", "q_bounds_odd", "q_densify", "q_mosaic_f32", "q_mosaic_selected", "q_mosaic_u16", "q_record_scatter", "q_resample"]
+BY_ORDINAL = ["q_bounds_filter", "q_bounds_odd", "q_densify", "q_mosaic_f32", "q_mosaic_selected", "q_mosaic_u16", "q_record_scatter", "q_resample", "q_tiling"]
 
 
 @pytest.fixture(scope="module")
