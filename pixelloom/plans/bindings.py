@@ -52,7 +52,8 @@ def ordinal(lineitem: DataFrame) -> Column:
     by_order, by_part = order.cast("decimal(20,0)") * Decimal(10**13), part.cast("decimal(20,0)") * Decimal(10**8)
     whole = (by_order + by_part + cents.cast("decimal(20,0)")).cast("decimal(38,0)")
     fits = lambda c: c.between(-(2**63), 2**63 - 1)
-    if lineitem.where(large & ~(fits(by_order) & fits(by_part) & fits(by_order + by_part) & fits(whole))).take(1):
+    # The first look is cheap to plan, and for small keys it is the only one.
+    if lineitem.where(large).take(1) and lineitem.where(large & ~(fits(by_order) & fits(by_part) & fits(by_order + by_part) & fits(whole))).take(1):
         return whole
     return order * 10**13 + part * 10**8 + cents
 
